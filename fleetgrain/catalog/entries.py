@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from fleetgrain.catalog.views import Views, duck_with
 from fleetgrain.session import prepare
 
+# keeps exact halves, which sums in another order miss by 1e-12, on one side of the rounding
+NUDGE = 1e-9
+
 Build = Callable[[Views], DataFrame]
 
 
@@ -69,7 +72,7 @@ def _spark_value(name: str, kind: str) -> Column:
     elif kind == "i":
         value = c.cast("bigint")
     elif kind == "f":
-        value = F.round(c.cast("double"), 4) + F.lit(0.0)
+        value = F.round(c.cast("double") + NUDGE, 4) + F.lit(0.0)
     elif kind == "b":
         value = c.cast("boolean")
     elif kind == "t":
@@ -84,7 +87,7 @@ def _duck_value(name: str, kind: str) -> str:
     if kind in types:
         return f"CAST({name} AS {types[kind]}) AS {name}"
     if kind == "f":
-        return f"round(CAST({name} AS DOUBLE), 4) + 0.0 AS {name}"
+        return f"round(CAST({name} AS DOUBLE) + {NUDGE:.10f}, 4) + 0.0 AS {name}"
     base = "TIMESTAMP" if kind == "t" else "DATE"
     return f"CAST(CAST({name} AS {base}) AS VARCHAR) AS {name}"
 

@@ -305,8 +305,8 @@ def _feed_rows(v):
     """Pings as parsed feed records with a source map."""
     fields = {
         "Prefixo": c("vehicle_prefix"), "DataHora": F.date_format("source_timestamp", "dd/MM/yyyy HH:mm:ss"),
-        "GPS_Latitude": F.replace(F.round("latitude", 4).cast("string"), F.lit("."), F.lit(",")),
-        "GPS_Longitude": F.when(c("k") != 3, F.round("longitude", 4).cast("string")),
+        "GPS_Latitude": F.replace(F.round("latitude", 5).cast("string"), F.lit("."), F.lit(",")),
+        "GPS_Longitude": F.when(c("k") != 3, F.round("longitude", 5).cast("string")),
         "Velocidade": (c("k") - 3).cast("string"),
         "Linha_atual": F.concat(F.lit("0."), c("line")), "GTFS_Sentido_atual": c("direction_id").cast("string"),
     }
@@ -317,7 +317,7 @@ def _feed_rows(v):
 R.add(
     "P39_state_columns", "event_id:i, source_timestamp:t, latitude:f, longitude:f, location_valid:b, speed_kmh:f, low_speed_since:t, normalized_current_line:s, current_direction:s, map_match_status:s, position_sample_count:i",
     lambda v: state_columns(_feed_rows(v)),
-    """SELECT event_id, moment AS source_timestamp, CASE WHEN k <> 3 THEN round(latitude, 4) END AS latitude, CASE WHEN k <> 3 THEN round(longitude, 4) END AS longitude,
+    """SELECT event_id, moment AS source_timestamp, CASE WHEN k <> 3 THEN round(latitude, 5) END AS latitude, CASE WHEN k <> 3 THEN round(longitude, 5) END AS longitude,
  k <> 3 AS location_valid, CASE WHEN k >= 3 THEN k - 3 END AS speed_kmh, CASE WHEN k = 3 THEN moment END AS low_speed_since,
  concat('0', line) AS normalized_current_line, CAST(direction_id AS VARCHAR) AS current_direction, 'collecting' AS map_match_status, 1 AS position_sample_count
  FROM (SELECT *, date_trunc('second', source_timestamp) + INTERVAL 3 HOUR AS moment FROM pings) x""",

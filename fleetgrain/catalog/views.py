@@ -44,15 +44,15 @@ VIEWS: dict[str, str] = {
     "pings": f"""
 SELECT event_id, concat('V', CAST(user_id AS STRING)) AS vehicle_prefix, CAST(ts AS TIMESTAMP) AS source_timestamp,
  CAST(ts AS TIMESTAMP) AS received_at, value / 10.0 AS speed_kmh, event_type AS line, k % 2 AS direction_id, k,
- -15.8 + ((event_id * 7919) % 2000) / 100000.0 AS latitude, -47.9 + ((event_id * 104729) % 2000) / 100000.0 AS longitude,
- ((event_id * 37) % 5000) * 1.0 AS shape_progress_m, 'F1' AS feed_id,
+ CAST(-15.8 + ((event_id * 7919) % 2000) / 100000.0 AS DOUBLE) AS latitude, CAST(-47.9 + ((event_id * 104729) % 2000) / 100000.0 AS DOUBLE) AS longitude,
+ CAST(((event_id * 37) % 5000) * 1.0 AS DOUBLE) AS shape_progress_m, 'F1' AS feed_id,
  concat('T', CAST(user_id % 7 AS STRING)) AS trip_id, concat('SH', CAST(user_id % 7 AS STRING)) AS shape_id
  FROM {_K}""",
     # a denser stream: one vehicle per event type, so windows and resets both occur
     "tracks": f"""
 SELECT event_id, concat('V', event_type) AS vehicle_prefix, CAST(ts AS TIMESTAMP) AS source_timestamp,
  CAST(ts AS TIMESTAMP) AS received_at, CASE WHEN k % 5 = 0 THEN NULL ELSE value / 10.0 END AS speed_kmh,
- -15.8 + ((event_id * 7919) % 2000) / 100000.0 AS latitude, -47.9 + ((event_id * 104729) % 2000) / 100000.0 AS longitude,
+ CAST(-15.8 + ((event_id * 7919) % 2000) / 100000.0 AS DOUBLE) AS latitude, CAST(-47.9 + ((event_id * 104729) % 2000) / 100000.0 AS DOUBLE) AS longitude,
  'F1' AS feed_id, concat('T', CAST(event_id - event_id % 400 AS STRING)) AS trip_id, 'SH1' AS shape_id, k
  FROM {_K}""",
     "completions": f"""
@@ -62,7 +62,7 @@ SELECT event_id, concat(event_type, '>', CAST(user_id % 5 AS STRING)) AS metric_
  FROM {_K}""",
     "assessed": """
 SELECT *, (duration_seconds > 0 AND distance_m / duration_seconds * 3.6 <= 80.0) AS accepted,
- CASE WHEN distance_m / duration_seconds * 3.6 <= 80.0 THEN 0.5 ELSE 0.0 END AS weight,
+ CASE WHEN distance_m / duration_seconds * 3.6 > 80.0 THEN CAST(0 AS DOUBLE) WHEN confidence = 'high' THEN 1.0 ELSE 0.5 END AS weight,
  CASE WHEN distance_m / duration_seconds * 3.6 <= 80.0 THEN NULL ELSE 'speed_over_80' END AS rejection_reason
  FROM completions""",
     "stop_times": f"""
@@ -84,7 +84,7 @@ SELECT DISTINCT 'F1' AS feed_id, concat('R', CAST(o_custkey % 20 AS STRING)) AS
     "stops": """
 SELECT DISTINCT 'F1' AS feed_id, concat('S', CAST(l_suppkey % 40 AS STRING)) AS stop_id,
  concat('Stop ', CAST(l_suppkey % 40 AS STRING)) AS name,
- -15.8 + (l_suppkey % 40) * 0.0007 AS latitude, -47.9 + (l_suppkey % 40) * 0.0005 AS longitude FROM lineitem""",
+ CAST(-15.8 + (l_suppkey % 40) * 0.0007 AS DOUBLE) AS latitude, CAST(-47.9 + (l_suppkey % 40) * 0.0005 AS DOUBLE) AS longitude FROM lineitem""",
     "services": """
 SELECT 'F1' AS feed_id, service_id, i % 2 = 1 AS monday, i % 2 = 1 AS tuesday, i % 3 > 0 AS wednesday, true AS thursday, i < 5 AS friday,
  i IN (2, 4) AS saturday, i = 5 AS sunday, DATE '2024-01-01' AS start_date,
@@ -97,16 +97,16 @@ SELECT 'F1' AS feed_id, service_id, i % 2 = 1 AS monday, i % 2 = 1 AS tuesday, i
         for d in (3, 6, 11, 20)
     ),
     "shape_points": """
-SELECT 'F1' AS feed_id, shape_id, seq AS sequence, -15.8 + 0.0006 * seq + (l_partkey % 10) * 0.00005 AS latitude,
- -47.9 + 0.0004 * seq + (l_partkey % 7) * 0.00005 AS longitude
+SELECT 'F1' AS feed_id, shape_id, seq AS sequence, CAST(-15.8 + 0.0006 * seq + (l_partkey % 10) * 0.00005 AS DOUBLE) AS latitude,
+ CAST(-47.9 + 0.0004 * seq + (l_partkey % 7) * 0.00005 AS DOUBLE) AS longitude
  FROM (SELECT concat('SH', CAST(o_custkey AS STRING)) AS shape_id, l_partkey,
   CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS seq
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x""",
     # positions near their shape: a ping per order around the shape of its customer
     "shape_pings": """
 SELECT o_orderkey AS ping_id, 'F1' AS feed_id, concat('SH', CAST(o_custkey AS STRING)) AS shape_id,
- -15.8 + 0.0006 * (1 + o_orderkey % 30) + (o_orderkey % 13 - 6) * 0.00006 AS latitude,
- -47.9 + 0.0004 * (1 + o_orderkey % 30) + (o_orderkey % 11 - 5) * 0.00006 AS longitude FROM orders""",
+ CAST(-15.8 + 0.0006 * (1 + o_orderkey % 30) + (o_orderkey % 13 - 6) * 0.00006 AS DOUBLE) AS latitude,
+ CAST(-47.9 + 0.0004 * (1 + o_orderkey % 30) + (o_orderkey % 11 - 5) * 0.00006 AS DOUBLE) AS longitude FROM orders""",
     "feeds": """
 SELECT concat('F', CAST(user_id AS STRING)) AS feed_id, max(CAST(ts AS TIMESTAMP)) AS retrieved_at FROM events GROUP BY user_id""",
     "deliveries": """
@@ -135,7 +135,7 @@ SELECT concat('V', CAST(o_orderkey AS STRING)) AS vehicle_prefix, concat('T', CA
  CAST(o_orderkey % 97 * 60 - 1200 AS INT) AS arrival_s, CAST((o_orderkey * 7 + o_custkey) % 83 * 60 AS INT) AS departure_s,
  TIMESTAMP '2024-01-31 00:00:00' + {secs:o_orderkey % 97 * 60 - 1200} AS arrival_at,
  TIMESTAMP '2024-01-31 00:00:00' + {secs:(o_orderkey * 7 + o_custkey) % 83 * 60} AS departure_at,
- (o_orderkey % 10) / 10.0 AS eta_reliability FROM orders""",
+ CAST((o_orderkey % 10) / 10.0 AS DOUBLE) AS eta_reliability FROM orders""",
     "roster": """
 SELECT concat('V', CAST(o_custkey AS STRING)) AS vehicle_prefix, o_orderkey AS trip_number, concat('L', CAST(o_custkey % 20 AS STRING)) AS line,
  concat('T', CAST(o_custkey % 60 AS STRING)) AS destination_name,
@@ -162,7 +162,7 @@ SELECT 'F1' AS feed_id, concat('V', CAST(o_orderkey AS STRING)) AS vehicle_prefi
  CASE WHEN o_orderkey % 9 = 0 THEN 'no_exact_match' ELSE 'unique_exact_match' END AS correlation_reason,
  CASE WHEN o_orderkey % 8 = 0 THEN ' ' ELSE '10:30' END AS current_planned_time, CAST(o_orderkey % 53 AS DOUBLE) AS distance_to_shape_m,
  CASE WHEN o_orderkey % 53 <= 30 THEN 'valid' WHEN o_orderkey % 53 <= 50 THEN 'reduced' ELSE 'fallback_required' END AS projection_quality,
- CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE -15.8 + (o_orderkey % 50) * 0.001 END AS latitude, -47.9 + (o_orderkey % 70) * 0.001 AS longitude,
+ CASE WHEN o_orderkey % 14 > 0 THEN CAST(-15.8 + (o_orderkey % 50) * 0.001 AS DOUBLE) END AS latitude, CAST(-47.9 + (o_orderkey % 70) * 0.001 AS DOUBLE) AS longitude,
  CASE WHEN o_totalprice < 10000 THEN TIMESTAMP '2024-01-31 00:00:00' - {secs:o_orderkey % 900} END AS low_speed_since,
  concat('0.', CAST(o_custkey % 20 AS STRING)) AS current_line, concat('to ', CAST(o_custkey % 9 AS STRING)) AS headsign,
  CAST(1 + o_orderkey % 3 AS INT) AS current_origin_stop_sequence, CAST(2 + o_orderkey % 3 AS INT) AS current_destination_stop_sequence,

@@ -40,10 +40,11 @@ def exact_trip_match(positions: DataFrame, active: DataFrame) -> DataFrame:
     )
     missing = F.col("_line").isNull() | F.col("_direction").isNull() | F.col("_time").isNull()
     matched = F.col("n") == 1
-    kept = [c for c in positions.columns if c not in ("feed_id", "trip_id", "route_id", "shape_id")]
+    trip = ("feed_id", "trip_id", "route_id", "shape_id")
+    kept = [c for c in positions.columns if c not in trip and not c.startswith("correlation_")]
     return joined.select(
         *[keyed[c] for c in kept],
-        *[F.when(matched, F.col(f"only.{c}")).alias(c) for c in ("feed_id", "trip_id", "route_id", "shape_id")],
+        *[F.when(matched, F.col(f"only.{c}")).alias(c) for c in trip],
         F.when(matched, "matched").otherwise("fallback_required").alias("correlation_status"),
         F.when(missing, "missing_input")
         .when(F.col("n").isNull(), "no_exact_match")
