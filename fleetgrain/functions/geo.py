@@ -81,16 +81,21 @@ def _leg(a: Column, b: Column) -> Column:
     return F.sqrt(x * x + y * y)
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate a row expression once and use it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def line_slice(points: Column, first: Column, second: Column) -> Column:
     """Sub-line between two fractions, in either order, with interpolated ends."""
     low = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.least(first, second)))
     high = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.greatest(first, second)))
     legs = F.zip_with(
-        F.slice(points, 1, F.size(points) - 1),
-        F.slice(points, 2, F.size(points) - 1),
+        F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))),
+        F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))),
         lambda a, b: F.struct(a.alias("a"), b.alias("b"), _leg(a, b).alias("length")),
     )
-    total = F.aggregate(legs, F.lit(0.0), lambda acc, leg: acc + leg["length"])
+    empty = F.array().cast(LINE_TYPE)
 
     def at(leg: Column, travelled: Column, target: Column) -> Column:
         ratio = F.when(leg["length"] > 0, (target - travelled) / leg["length"]).otherwise(F.lit(0.0))
@@ -99,30 +104,42 @@ def line_slice(points: Column, first: Column, second: Column) -> Column:
             (leg["a"]["lat"] + (leg["b"]["lat"] - leg["a"]["lat"]) * ratio).alias("lat"),
         )
 
-    empty = F.array().cast(LINE_TYPE)
+    def cut(line: Column) -> Column:
+        """`line` holds the legs and the two target distances along them."""
+
+        def step(state: Column, leg: Column) -> Column:
+            travelled = state["travelled"]
+            end, index = travelled + leg["length"], state["index"] + 1
+            last = index == F.size(line["legs"])
+            starts = ~state["started"] & ((end >= line["from"]) | last)
+            started = state["started"] | starts
+            ends = started & ~state["done"] & ((end >= line["to"]) | last)
+            opened = F.when(starts, F.array(at(leg, travelled, line["from"]))).otherwise(empty)
+            inner = (
+                F.when(ends, F.array(at(leg, travelled, line["to"])))
+                .when(started & ~state["done"], F.array(leg["b"]))
+                .otherwise(empty)
+            )
+            return F.struct(
+                end.alias("travelled"), index.alias("index"), started.alias("started"),
+                (state["done"] | ends).alias("done"),
+                F.concat(state["line"], opened, inner).alias("line"),
+            )
+
+        start = F.struct(
+            F.lit(0.0).alias("travelled"), F.lit(0).alias("index"), F.lit(False).alias("started"),
+            F.lit(False).alias("done"), empty.alias("line"),
+        )
+        return F.aggregate(line["legs"], start, step, lambda s: s["line"])
 
-    def step(state: Column, leg: Column) -> Column:
-        travelled = state["travelled"]
-        end, index = travelled + leg["length"], state["index"] + 1
-        last = index == F.size(points) - 1
-        starts = ~state["started"] & ((end >= total * low) | last)
-        started = state["started"] | starts
-        ends = started & ~state["done"] & ((end >= total * high) | last)
-        opened = F.when(starts, F.array(at(leg, travelled, total * low))).otherwise(empty)
-        inner = F.when(
-            ends, F.array(at(leg, travelled, total * high))
-        ).when(started & ~state["done"], F.array(leg["b"])).otherwise(empty)
-        return F.struct(
-            end.alias("travelled"), index.alias("index"), started.alias("started"),
-            (state["done"] | ends).alias("done"),
-            F.concat(state["line"], opened, inner).alias("line"),
+    def measured(legs_: Column) -> Column:
+        total = F.aggregate(legs_, F.lit(0.0), lambda acc, leg: acc + leg["length"])
+        return _let(
+            total,
+            lambda t: F.struct(legs_.alias("legs"), (t * low).alias("from"), (t * high).alias("to")),
         )
 
-    start = F.struct(
-        F.lit(0.0).alias("travelled"), F.lit(0).alias("index"), F.lit(False).alias("started"),
-        F.lit(False).alias("done"), empty.alias("line"),
-    )
-    sliced = F.aggregate(legs, start, step, lambda s: s["line"])
+    sliced = _let(_let(legs, measured), cut)
     return F.when(F.size(points) < 2, points).otherwise(sliced)
 
 

@@ -264,14 +264,28 @@ def project_on_shape(points: DataFrame, segments: DataFrame, keys: list[str]) ->
 
 
 def candidate_union(points: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Nearby candidates plus the nearest one, without repeats."""
-    near = nearby_segments(points, segments, keys).filter("candidate IS NOT NULL")
-    nearest = nearest_segment(points, segments, keys)
-    return (
-        near.select(*keys, "candidate")
-        .union(nearest.select(*keys, F.col("nearest.candidate")))
-        .distinct()
+    """Nearby candidates plus the nearest one, without repeats.
+
+    The grid pairs answer both: candidates within 50 m and, per point, the
+    nearest pair. Only points with nothing inside the padding go the far way.
+    """
+    slim = points.select(*keys, *SHAPE, "latitude", "longitude").filter(
+        F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     )
+    planar = geo.planar_distance(
+        F.col("latitude"), F.col("longitude"),
+        F.col("candidate.projected_latitude"), F.col("candidate.projected_longitude"),
+    )
+    order = Window.partitionBy(*keys).orderBy("planar", "segment_sequence")
+    pairs = _projected(_near_pairs(slim, segments)).withColumn("planar", planar).filter(
+        F.col("planar") <= BOX_DEGREES
+    )
+    near = pairs.withColumn("_rank", F.row_number().over(order)).filter(
+        (F.col("_rank") == 1) | (F.col("candidate.distance_to_shape_m") <= REDUCED_DISTANCE_M)
+    ).select(*keys, "candidate")
+    rest = slim.join(near.select(*keys), keys, "left_anti")
+    far = _best(_projected(_far_pairs(rest, segments, keys)), keys)
+    return near.unionByName(far.select(*keys, F.col("nearest.candidate").alias("candidate")))
 
 
 PROGRESS_BUCKET_M = 500.0
