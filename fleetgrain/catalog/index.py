@@ -6,7 +6,7 @@ from importlib import import_module
 
 from fleetgrain.catalog.entries import Entry
 
-FAMILIES = ("scalars", "metrics", "positions", "timetable", "shapes", "fleet", "quality")
+FAMILIES = ("scalars", "metrics", "positions", "timetable", "shapes", "estimates", "fleet", "quality")
 
 
 def all_entries() -> list[Entry]:

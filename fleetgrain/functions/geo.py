@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fleetgrain.functions.binding import let
+
 EARTH_RADIUS_M = 6_371_008.8
 LINE_TYPE = "array<struct<lon:double,lat:double>>"
 SIMPLIFY_TOLERANCE = 0.00003
@@ -81,11 +83,6 @@ def _leg(a: Column, b: Column) -> Column:
     return F.sqrt(x * x + y * y)
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate a row expression once and use it inside lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def line_slice(points: Column, first: Column, second: Column) -> Column:
     """Sub-line between two fractions, in either order, with interpolated ends."""
     low = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.least(first, second)))
@@ -134,12 +131,12 @@ def line_slice(points: Column, first: Column, second: Column) -> Column:
 
     def measured(legs_: Column) -> Column:
         total = F.aggregate(legs_, F.lit(0.0), lambda acc, leg: acc + leg["length"])
-        return _let(
+        return let(
             total,
             lambda t: F.struct(legs_.alias("legs"), (t * low).alias("from"), (t * high).alias("to")),
         )
 
-    sliced = _let(_let(legs, measured), cut)
+    sliced = let(let(legs, measured), cut)
     return F.when(F.size(points) < 2, points).otherwise(sliced)
 
 

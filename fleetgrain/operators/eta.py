@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetgrain.functions.binding import let
 from fleetgrain.functions.status import (
     POSITION_SECONDS,
     SIGNAL_SECONDS,
@@ -14,14 +15,10 @@ from fleetgrain.functions.status import (
     fully_projected,
 )
 from fleetgrain.functions.times import (
-    FALLBACK_OFFSETS,
     WINDOW_MICROS,
     at_lit,
-    day_type,
     fresh,
     planned_trip_end,
-    service_date,
-    slot_index,
 )
 from fleetgrain.operators.estimates import catalog_resolve
 from fleetgrain.operators.metrics import LIVE_SECONDS
@@ -184,13 +181,22 @@ def eta_current_time(resolved: DataFrame) -> DataFrame:
     )
 
 
+CHOICE = "struct<v:double,r:double,s:string>"
+
+
+def _choice(value: Column, reliability: Column, source: Column) -> Column:
+    return F.struct(
+        value.cast("double").alias("v"), reliability.cast("double").alias("r"), source.alias("s")
+    )
+
+
 def reachable_candidates(segments: DataFrame, catalog: DataFrame, at: Column | str) -> DataFrame:
-    """Per segment and scope: live candidate and a slot map of the other candidates.
+    """Per segment and scope: live candidate and the best other one per slot.
 
     The slots a segment can be reached in follow from the data: the travel
     time before it is at most the sum of the largest candidates of the
-    segments ahead of it. Only those slots, padded by the fallback half hour,
-    are looked up, so no horizon is guessed and nothing is cut off.
+    segments ahead of it. Only those slots are resolved, each (key, slot)
+    once for the whole fleet; no horizon is guessed and nothing is cut off.
     """
     scoped = _scoped(segments).withColumn("at", at_lit(at))
     largest = catalog.groupBy("metric_key").agg(F.max("value_seconds").alias("_largest"))
@@ -209,28 +215,28 @@ def reachable_candidates(segments: DataFrame, catalog: DataFrame, at: Column | s
     now = F.floor(F.unix_micros("at") / WINDOW_MICROS)
     last = F.floor((F.unix_micros("at") + F.col("_ahead") * 1e6 + 1) / WINDOW_MICROS)
     id_ = ["vehicle_prefix", "scope", "origin_stop_sequence"]
-    slots = df.select(*id_, "metric_key", F.explode(F.sequence(now - 6, last + 6)).alias("slot"))
-    start = F.timestamp_micros(F.col("slot") * WINDOW_MICROS)
-    slots = slots.select(
-        "*", day_type(start).alias("day_type"), service_date(start).alias("service_date"),
-        slot_index(start).alias("slot_index"),
-    )
-    value = F.struct("value_seconds", "reliability")
-    history = slots.join(
-        catalog.filter("source = 'historical'").select("metric_key", "day_type", "slot_index", value.alias("h")),
-        ["metric_key", "day_type", "slot_index"],
-    ).select(*id_, "slot", "h", F.lit(None).cast("struct<value_seconds:double,reliability:double>").alias("p"))
-    planned = slots.join(
-        catalog.filter("source = 'gtfs_planned'").select("metric_key", "service_date", "slot_index", value.alias("p")),
-        ["metric_key", "service_date", "slot_index"],
-    ).select(*id_, "slot", F.lit(None).cast("struct<value_seconds:double,reliability:double>").alias("h"), "p")
-    per_slot = history.unionByName(planned).groupBy(*id_, "slot").agg(F.max("h").alias("h"), F.max("p").alias("p"))
-    maps = per_slot.groupBy(*id_).agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", F.struct("h", "p")))).alias("slots")
+    slots = df.select(*id_, "metric_key", F.explode(F.sequence(now, last)).alias("slot"))
+    asked = slots.select("metric_key", "slot").distinct().select(
+        "*", F.timestamp_micros(F.col("slot") * WINDOW_MICROS).alias("estimate_at"),
+        F.lit(None).cast("double").alias("planned_duration_seconds"),
+    )
+    resolved = catalog_resolve(asked, catalog.filter("source <> 'live'")).filter(
+        "estimate.source <> 'unavailable'"
+    )
+    best = resolved.select(
+        "metric_key", "slot",
+        _choice(F.col("estimate.value_seconds"), F.col("estimate.reliability"), F.col("estimate.source")).alias("best"),
+    )
+    maps = slots.join(best, ["metric_key", "slot"]).groupBy(*id_).agg(
+        F.map_from_entries(F.collect_list(F.struct("slot", "best"))).alias("slots")
     )
     return df.drop("_largest", "_ahead").join(maps, id_, "left")
 
 
+def _by_sequence(a: Column, b: Column) -> Column:
+    return a["origin_stop_sequence"] - b["origin_stop_sequence"]
+
+
 def eta_future_time(candidates: DataFrame) -> DataFrame:
     """Totals per vehicle and scope with each segment taken when it is reached.
 
@@ -238,43 +244,29 @@ def eta_future_time(candidates: DataFrame) -> DataFrame:
     estimate, and live metrics age along the way.
     """
     key = ["vehicle_prefix", "scope"]
-    value_type = "struct<h:struct<value_seconds:double,reliability:double>,p:struct<value_seconds:double,reliability:double>>"
-    filled = F.coalesce("slots", F.create_map().cast(f"map<bigint,{value_type}>"))
+    slots = F.coalesce("slots", F.create_map().cast(f"map<bigint,{CHOICE}>"))
     packed = candidates.groupBy(*key).agg(
         F.first(F.unix_micros("at")).alias("at_micros"),
-        F.sort_array(
+        F.array_sort(
             F.collect_list(
                 F.struct(
                     "origin_stop_sequence", F.col("remaining_fraction").alias("fraction"), "live",
-                    F.map_entries(filled).alias("slots"), F.col("planned_duration_seconds").alias("own"),
+                    slots.alias("slots"), F.col("planned_duration_seconds").alias("own"),
                     "origin_stop_id", "destination_stop_id",
                 )
-            )
+            ),
+            _by_sequence,
         ).alias("segments"),
     )
 
-    def pick(segment: Column, slot: Column, name: str) -> Column:
-        table = F.map_from_entries(segment["slots"])
-        return F.coalesce(
-            *[F.try_element_at(table, slot + minutes // 5)[name] for minutes in FALLBACK_OFFSETS]
-        )
-
     def estimate(segment: Column, cursor: Column) -> Column:
-        slot = F.floor(cursor / WINDOW_MICROS)
         live, own = segment["live"], segment["own"]
         young = live.isNotNull() & (cursor - live["end_micros"] <= LIVE_SECONDS * 1_000_000)
-        historical, planned = pick(segment, slot, "h"), pick(segment, slot, "p")
-
-        def as_(c: Column, source: str) -> Column:
-            return F.struct(
-                c["value_seconds"].alias("v"), c["reliability"].alias("r"), F.lit(source).alias("s")
-            )
-
+        best = F.try_element_at(segment["slots"], F.floor(cursor / WINDOW_MICROS))
         return (
-            F.when(young, as_(live, "live"))
-            .when(historical.isNotNull(), as_(historical, "historical"))
-            .when(planned.isNotNull(), as_(planned, "gtfs_planned"))
-            .when(own.isNotNull(), F.struct(own.alias("v"), F.lit(1.0).alias("r"), F.lit("gtfs_planned").alias("s")))
+            F.when(young, _choice(live["value_seconds"], live["reliability"], F.lit("live")))
+            .when(best.isNotNull(), best)
+            .when(own.isNotNull(), _choice(own, F.lit(1.0), F.lit("gtfs_planned")))
         )
 
     nothing = F.lit(None)
@@ -288,39 +280,44 @@ def eta_future_time(candidates: DataFrame) -> DataFrame:
     )
 
     def step(state: Column, segment: Column) -> Column:
-        e = estimate(segment, state["cursor"])
-        usable = ~state["stopped"] & e.isNotNull()
-        fails = ~state["stopped"] & e.isNull()
-        seconds = F.when(usable, e["v"] * segment["fraction"]).otherwise(F.lit(0.0))
-        opening = usable & (state["covered"] == 0)
-        return F.struct(
-            (state["cursor"] + F.bround(seconds * 1e6).cast("long")).alias("cursor"),
-            (state["total"] + seconds).alias("total"),
-            (state["weighted"] + F.when(usable, seconds * e["r"]).otherwise(F.lit(0.0))).alias("weighted"),
-            (state["covered"] + usable.cast("int")).alias("covered"),
-            *[
-                (state[n] + F.coalesce(usable & (e["s"] == n), F.lit(False)).cast("int")).alias(n)
-                for n in SOURCES
-            ],
-            (state["stopped"] | fails).alias("stopped"),
-            F.when(opening, seconds).otherwise(state["next_seconds"]).alias("next_seconds"),
-            F.when(opening, e["r"]).otherwise(state["next_reliability"]).alias("next_reliability"),
-            F.when(opening, e["s"]).otherwise(state["next_source"]).alias("next_source"),
-            F.when(fails, segment["origin_stop_id"]).otherwise(state["missing_origin"]).alias("missing_origin"),
-            F.when(fails, segment["destination_stop_id"]).otherwise(state["missing_destination"]).alias(
-                "missing_destination"
-            ),
-        )
+        def advance(e: Column) -> Column:
+            usable = ~state["stopped"] & e.isNotNull()
+            fails = ~state["stopped"] & e.isNull()
+            seconds = F.when(usable, e["v"] * segment["fraction"]).otherwise(F.lit(0.0))
+            opening = usable & (state["covered"] == 0)
+            return F.struct(
+                (state["cursor"] + F.bround(seconds * 1e6).cast("long")).alias("cursor"),
+                (state["total"] + seconds).alias("total"),
+                (state["weighted"] + seconds * F.coalesce(e["r"], F.lit(0.0))).alias("weighted"),
+                (state["covered"] + usable.cast("int")).alias("covered"),
+                *[
+                    (state[n] + F.coalesce(usable & (e["s"] == n), F.lit(False)).cast("int")).alias(n)
+                    for n in SOURCES
+                ],
+                (state["stopped"] | fails).alias("stopped"),
+                F.when(opening, seconds).otherwise(state["next_seconds"]).alias("next_seconds"),
+                F.when(opening, e["r"]).otherwise(state["next_reliability"]).alias("next_reliability"),
+                F.when(opening, e["s"]).otherwise(state["next_source"]).alias("next_source"),
+                F.when(fails, segment["origin_stop_id"]).otherwise(state["missing_origin"]).alias("missing_origin"),
+                F.when(fails, segment["destination_stop_id"])
+                .otherwise(state["missing_destination"])
+                .alias("missing_destination"),
+            )
+
+        return let(estimate(segment, state["cursor"]), advance)
 
-    folded = packed.withColumn("f", F.aggregate("segments", start, step))
+    folded = packed.select(
+        *key, F.aggregate("segments", start, step).alias("f"), F.size("segments").alias("n"),
+        F.element_at("segments", 1)["origin_stop_id"].alias("next_origin_stop_id"),
+        F.element_at("segments", 1)["destination_stop_id"].alias("next_stop_id"),
+    )
     complete = ~F.col("f.stopped")
-    opening = F.element_at("segments", 1)
     return folded.select(
         *key,
         F.when(complete, F.col("f.total")).alias("value_seconds"),
         F.when(F.col("f.total") > 0, F.col("f.weighted") / F.col("f.total")).otherwise(F.lit(0.0)).alias("reliability"),
         F.col("f.covered").cast("long").alias("segments_covered"),
-        F.size("segments").cast("long").alias("segments_total"),
+        F.col("n").cast("long").alias("segments_total"),
         *[F.col(f"f.{n}").cast("long").alias(f"count_{n}") for n in SOURCES],
         complete.alias("complete"),
         F.col("f.missing_origin").alias("missing_origin_stop_id"),
@@ -328,8 +325,7 @@ def eta_future_time(candidates: DataFrame) -> DataFrame:
         F.col("f.next_seconds").alias("next_stop_seconds"),
         F.col("f.next_reliability").alias("next_stop_reliability"),
         F.col("f.next_source").alias("next_stop_source"),
-        opening["origin_stop_id"].alias("next_origin_stop_id"),
-        opening["destination_stop_id"].alias("next_stop_id"),
+        "next_origin_stop_id", "next_stop_id",
     )
 
 
