@@ -6,7 +6,9 @@ from importlib import import_module
 
 from fleetgrain.catalog.entries import Entry
 
-FAMILIES = ("scalars", "metrics", "positions", "timetable", "shapes", "estimates", "fleet", "quality")
+FAMILIES = (
+    "scalars", "metrics", "positions", "timetable", "shapes", "estimates", "swaps", "fleet", "quality", "sources",
+)
 
 
 def all_entries() -> list[Entry]:
