@@ -11,6 +11,7 @@ from fleetgrain.catalog.metrics import stats_sql
 from fleetgrain.catalog.timetable import ADJ_SQL, NEXT_SQL, PLANNED_SQL, days_sql, totals, wrapped
 from fleetgrain.operators import estimates, eta, metrics, samples, timetable
 from fleetgrain.functions.times import at_lit
+from fleetgrain.session import materialize
 
 R = Registry()
 c = F.col
@@ -59,7 +60,7 @@ def current(v):
 
 def remaining(v):
     able = eta.eligible_for_eta(current(v), NOW).filter("eta_reason IS NULL").drop("eta_reason")
-    return eta.remaining_segments(able, v.stop_times)
+    return materialize(eta.remaining_segments(able, v.stop_times))
 
 
 R.add(
@@ -69,15 +70,17 @@ R.add(
 
 
 def measured(v):
-    seen = observed(v)
+    """Live and profile metrics, stored as they are in operation."""
+    seen = materialize(observed(v))
     live = metrics.live_metrics(seen)
     profiles = metrics.rolling_profile(metrics.daily_metrics(seen), DAY)
-    return live, profiles
+    return materialize(live), materialize(profiles)
 
 
 def catalog(v, requests):
     live, profiles = measured(v)
-    return estimates.estimate_catalog(requests, live, profiles, v.stop_times, v.trips, v.services, v.exceptions, NOW, DAY, DATES)
+    return materialize(
+        estimates.estimate_catalog(requests, live, profiles, v.stop_times, v.trips, v.services, v.exceptions, NOW, DAY, DATES))
 
 
 def _case(name):

@@ -10,6 +10,7 @@ from fleetgrain.catalog.fleet import EARLY_SQL, early_decisions
 from fleetgrain.catalog.scalars import _payload
 from fleetgrain.catalog.views import AT
 from fleetgrain.operators import decisions, fleet, swaps
+from fleetgrain.session import materialize
 
 R = Registry()
 c = F.col
@@ -101,7 +102,7 @@ R.add(
 )
 R.add(
     "X05_solved_cycles", "terminal_id:s, group_id:s, vehicles:i, saved:i",
-    lambda v: swaps.exchange_cycles(swaps.assign_per_terminal(v.commitments, AT)).groupBy("terminal_id", "group_id").agg(
+    lambda v: swaps.exchange_cycles(materialize(swaps.assign_per_terminal(v.commitments, AT))).groupBy("terminal_id", "group_id").agg(
         F.count("*").alias("vehicles"), F.sum(c("baseline_delay_seconds") - c("proposed_delay_seconds")).alias("saved")),
 )
 TOTALS_OUT = "terminal_id:s, baseline_total_delay_seconds:i, proposed_total_delay_seconds:i, saved_delay_seconds:i, baseline_delayed_trip_count:i, proposed_delayed_trip_count:i, baseline_max_delay_seconds:i, proposed_max_delay_seconds:i"

@@ -169,16 +169,21 @@ _VERDICT_COLUMNS = (
 )
 
 
-def assess_frame(frame: pd.DataFrame, window: ReferenceWindow) -> pd.DataFrame:
-    """Assess rows already in order of completion, updating the window."""
-    verdicts = [
-        window.assess(int(at), duration, distance, confidence)
-        for at, duration, distance, confidence in zip(
-            frame["completed_micros"], frame["duration_seconds"], frame["distance_m"], frame["confidence"]
+def _assess_sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fold over a partition sorted by key, run and completion, batch by batch."""
+    current, window = None, ReferenceWindow()
+    for frame in frames:
+        verdicts = []
+        rows = zip(
+            frame["metric_key"], frame["run_id"], frame["completed_micros"],
+            frame["duration_seconds"], frame["distance_m"], frame["confidence"],
         )
-    ]
-    judged = pd.DataFrame(verdicts, columns=list(_VERDICT_COLUMNS), index=frame.index)
-    return pd.concat([frame, judged], axis=1)
+        for key, run, at, duration, distance, confidence in rows:
+            if current != (key, run):
+                current, window = (key, run), ReferenceWindow()
+            verdicts.append(window.assess(int(at), duration, distance, confidence))
+        judged = pd.DataFrame(verdicts, columns=list(_VERDICT_COLUMNS), index=frame.index)
+        yield pd.concat([frame, judged], axis=1)
 
 
 def accept_sequentially(observations: DataFrame) -> DataFrame:
@@ -186,9 +191,8 @@ def accept_sequentially(observations: DataFrame) -> DataFrame:
 
     Acceptance depends on earlier acceptance, so this is a fold. References
     live one hour, so a key falls into independent runs wherever it pauses for
-    an hour, and each run is its own group. A group streams through the
-    worker in batches holding only the trailing hour: rows arrive sorted
-    because the partitions are sorted by key, run and completion.
+    an hour, and runs spread over tasks. A task streams its sorted rows and
+    holds only the trailing hour of the run at hand.
     """
     keys = ["metric_key", "run_id"]
     order = Window.partitionBy("metric_key").orderBy("completed_at")
@@ -203,13 +207,7 @@ def accept_sequentially(observations: DataFrame) -> DataFrame:
     )
     sorted_runs = runs.repartition(*keys).sortWithinPartitions(*keys, "completed_micros", "duration_seconds")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_runs.schema)
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        window = ReferenceWindow()
-        for frame in frames:
-            yield assess_frame(frame, window)
-
-    judged = sorted_runs.groupBy(*keys).applyInPandas(fold, f"{fields}, {ASSESSMENT}")
+    judged = sorted_runs.mapInPandas(_assess_sorted, f"{fields}, {ASSESSMENT}")
     return judged.select(*columns, *_VERDICT_COLUMNS)
 
 

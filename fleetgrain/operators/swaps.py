@@ -12,6 +12,7 @@ JVM.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from fleetgrain.functions.identity import execution_key
 from fleetgrain.functions.status import DELAYED_SECONDS, SNAPSHOT_SECONDS, delay_seconds
 from fleetgrain.functions.times import at_lit, elapsed_seconds, fresh, nearest_departure
 from fleetgrain.operators.ordered import running_sum
-from fleetgrain.session import ensure_checkpoints
+from fleetgrain.session import materialize
 
 PROTECTED_SECONDS = 600
 IDLE_LIMIT_SECONDS = 86_400
@@ -247,16 +248,33 @@ def solve_block(arrivals: dict[str, int], departures: dict[str, int]) -> list[tu
     return pairs
 
 
-def _solve_frame(frame: pd.DataFrame) -> pd.DataFrame:
-    arrivals = frame[frame["kind"] == "arrival"]
-    departures = frame[frame["kind"] == "departure"]
-    pairs = solve_block(
-        dict(zip(arrivals["vehicle_prefix"], arrivals["t"].astype(int))),
-        dict(zip(departures["vehicle_prefix"], departures["t"].astype(int))),
-    )
-    out = pd.DataFrame(pairs, columns=["vehicle_prefix", "assigned_prefix"])
-    out.insert(0, "terminal_id", frame["terminal_id"].iloc[0])
-    return out
+def _solve_sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Solve block after block of a partition sorted by terminal and block.
+
+    Only the block at hand is held; its rows may span Arrow batches.
+    """
+    current: tuple[str, int] | None = None
+    ends: dict[str, dict[str, int]] = {"arrival": {}, "departure": {}}
+
+    def solved() -> list[tuple[str, str, str]]:
+        if current is None:
+            return []
+        return [(current[0], *pair) for pair in solve_block(ends["arrival"], ends["departure"])]
+
+    for frame in frames:
+        out: list[tuple[str, str, str]] = []
+        rows = zip(frame["terminal_id"], frame["block"], frame["kind"], frame["t"], frame["vehicle_prefix"])
+        for terminal, block, kind, t, vehicle in rows:
+            if current != (terminal, block):
+                out += solved()
+                current = (terminal, block)
+                ends = {"arrival": {}, "departure": {}}
+            ends[kind][vehicle] = int(t)
+        yield pd.DataFrame(out, columns=_SOLVED)
+    yield pd.DataFrame(solved(), columns=_SOLVED)
+
+
+_SOLVED = ["terminal_id", "vehicle_prefix", "assigned_prefix"]
 
 
 def assignments(rows: DataFrame, at: Column | str) -> DataFrame:
@@ -271,28 +289,33 @@ def assignments(rows: DataFrame, at: Column | str) -> DataFrame:
     ).withColumn("departure_s", seconds("departure_at"))
     free = scoped.filter(~F.col("protected")).select("terminal_id", "vehicle_prefix", "arrival_s", "departure_s")
     blocks = terminal_blocks(free)
-    # arrival and departure of each vehicle placed in their blocks, one row each
-    ends = free.select(
-        "terminal_id", "vehicle_prefix", "arrival_s", "departure_s",
+    points = blocks.select("terminal_id", "t", "block")
+    placed = (
+        free.join(points.select("terminal_id", F.col("t").alias("arrival_s"), F.col("block").alias("arrival_block")), ["terminal_id", "arrival_s"])
+        .join(points.select("terminal_id", F.col("t").alias("departure_s"), F.col("block").alias("departure_block")), ["terminal_id", "departure_s"])
+    )
+    stays = (F.col("arrival_s") <= F.col("departure_s")) & (F.col("arrival_block") == F.col("departure_block"))
+    ends = placed.select(
+        "terminal_id", "vehicle_prefix", stays.alias("stays"),
         F.explode(
             F.array(
-                F.struct(F.lit("arrival").alias("kind"), F.col("arrival_s").alias("t")),
-                F.struct(F.lit("departure").alias("kind"), F.col("departure_s").alias("t")),
+                F.struct(F.lit("arrival").alias("kind"), F.col("arrival_s").alias("t"), F.col("arrival_block").alias("block")),
+                F.struct(F.lit("departure").alias("kind"), F.col("departure_s").alias("t"), F.col("departure_block").alias("block")),
             )
         ).alias("e"),
-    ).select("terminal_id", "vehicle_prefix", (F.col("arrival_s") <= F.col("departure_s")).alias("on_time"), "e.*")
-    placed = ends.join(blocks.select("terminal_id", "t", "block"), ["terminal_id", "t"])
-    # every vehicle on time: the balance covers each own pair, so all stay
-    quiet = placed.groupBy("terminal_id", "block").agg(F.min("on_time").alias("all_on_time"))
-    joined = placed.join(quiet, ["terminal_id", "block"])
-    unchanged = joined.filter("all_on_time AND kind = 'departure'").select(
+    ).select("terminal_id", "vehicle_prefix", "stays", "e.*")
+    # a block whose vehicles are all on time inside it needs no change
+    quiet = ends.groupBy("terminal_id", "block").agg(F.min("stays").alias("quiet"))
+    joined = ends.join(quiet, ["terminal_id", "block"])
+    unchanged = joined.filter("quiet AND kind = 'departure'").select(
         "terminal_id", "vehicle_prefix", F.col("vehicle_prefix").alias("assigned_prefix")
     )
     solved = (
-        joined.filter("NOT all_on_time")
+        joined.filter("NOT quiet")
         .select("terminal_id", "block", "kind", "t", "vehicle_prefix")
-        .groupBy("terminal_id", "block")
-        .applyInPandas(_solve_frame, "terminal_id string, vehicle_prefix string, assigned_prefix string")
+        .repartition("terminal_id", "block")
+        .sortWithinPartitions("terminal_id", "block")
+        .mapInPandas(_solve_sorted, "terminal_id string, vehicle_prefix string, assigned_prefix string")
     )
     kept = scoped.filter("protected").select(
         "terminal_id", "vehicle_prefix", F.col("vehicle_prefix").alias("assigned_prefix")
@@ -370,8 +393,7 @@ def exchange_cycles(assigned: DataFrame) -> DataFrame:
         F.least("vehicle_prefix", "assigned_prefix").alias("label"),
         F.when(F.col("vehicle_prefix") < F.col("assigned_prefix"), 0).otherwise(1).cast("long").alias("offset"),
     )
-    ensure_checkpoints(links.sparkSession)
-    links = links.checkpoint()
+    links = materialize(links)
     reach = 1
     while True:
         ahead = links.select(
@@ -380,12 +402,12 @@ def exchange_cycles(assigned: DataFrame) -> DataFrame:
         )
         joined = links.join(ahead, ["terminal_id", "next"])
         further = F.col("_label") < F.col("label")
-        stepped = joined.select(
+        stepped = materialize(joined.select(
             "terminal_id", "vehicle_prefix", F.col("_next").alias("next"),
             F.when(further, F.col("_label")).otherwise(F.col("label")).alias("label"),
             F.when(further, F.col("_offset")).otherwise(F.col("offset")).alias("offset"),
             further.alias("moved"),
-        ).checkpoint()
+        ))
         reach *= 2
         links = stepped.drop("moved")
         if stepped.filter("moved").isEmpty():

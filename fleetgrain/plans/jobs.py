@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetgrain.operators import crossings, estimates, eta, fleet, matching, metrics, positions, samples, shapes, timetable
 from fleetgrain.operators.correlation import exact_trip_match
 from fleetgrain.operators.ordered import hour_chunk, running_sum
+from fleetgrain.session import materialize
 from fleetgrain.sources.tables import overwrite_upsert, read_current
 from fleetgrain.sources.timetable import append_feed_tables, new_feed_versions, read_gtfs
 
@@ -75,7 +76,7 @@ def timetable_job(
     tables = project_timetable(read_gtfs(spark, path, feed_id))
     if not unplaced_patterns(tables).isEmpty():
         raise ValueError("timetable has a stop pattern without monotone projection")
-    tables["stop_times"] = tables["stop_times"].checkpoint()
+    tables["stop_times"] = materialize(tables["stop_times"])
     feed = spark.createDataFrame(
         [(feed_id, version["content_hash"], retrieved_at)], "feed_id string, content_hash string, retrieved_at string"
     ).withColumn("retrieved_at", F.col("retrieved_at").cast("timestamp"))
@@ -149,12 +150,13 @@ def fleet_catalog(
 ) -> tuple[DataFrame, DataFrame]:
     """Remaining segments of all fresh vehicles and the candidates for them."""
     able = eta.eligible_for_eta(states, at).filter("eta_reason IS NULL").drop("eta_reason")
-    segments = eta.remaining_segments(able, tables["stop_times"])
+    # both are read many times below; stored once, they also cut the lineage
+    segments = materialize(eta.remaining_segments(able, tables["stop_times"]))
     catalog = estimates.estimate_catalog(
         segments, live, profiles, tables["stop_times"], tables["trips"], tables["services"],
         tables["service_exceptions"], at, day, catalog_dates(day),
     )
-    return segments, catalog
+    return segments, materialize(catalog)
 
 
 def snapshot_job(

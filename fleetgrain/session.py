@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 OPERATIONAL_TZ = "America/Sao_Paulo"
 ROCKSDB_PROVIDER = (
@@ -57,6 +57,12 @@ def ensure_checkpoints(spark: SparkSession) -> str:
     return base
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """A checkpoint of `df` that other executors can read after a loss."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the checkpoint folder, visible to all executors."""
     return f"{ensure_checkpoints(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

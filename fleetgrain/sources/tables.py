@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgrain.functions.geo import line_geojson, point_geojson
 from fleetgrain.functions.times import at_lit
+from fleetgrain.session import materialize
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], newer: Column | None = None) -> DataFrame:
@@ -45,7 +46,7 @@ def overwrite_upsert(
         touched = updates.select(partition).distinct()
         current = _read_or_empty(spark, path, updates)
         affected = current.join(F.broadcast(touched), partition, "left_semi")
-        merged = upsert(affected, updates, keys, newer).checkpoint()
+        merged = materialize(upsert(affected, updates, keys, newer))
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             partition
         ).parquet(path)
