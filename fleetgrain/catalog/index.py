@@ -7,7 +7,7 @@ from importlib import import_module
 from fleetgrain.catalog.entries import Entry
 
 FAMILIES = (
-    "scalars", "metrics", "positions", "timetable", "shapes", "estimates", "swaps", "fleet", "quality", "sources", "streams",
+    "scalars", "metrics", "positions", "timetable", "shapes", "estimates", "swaps", "fleet", "quality", "sources", "jobs", "streams",
 )
 
 
