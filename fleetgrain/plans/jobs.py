@@ -32,13 +32,16 @@ def project_timetable(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Adds lines, shape segments and stop positions to the tables of a version.
 
     Stops are placed once per distinct (shape, stop list) and then spread to
-    the trips that share it.
+    the trips that share it. Fails before anything is written when a pattern
+    has no monotone placement.
     """
-    segments = shapes.shape_segments(tables["shape_points"])
+    segments = materialize(shapes.shape_segments(tables["shape_points"]))
     patterns = timetable.stop_patterns(tables["trips"], tables["stop_times"])
     distinct = timetable.distinct_patterns(patterns)
     stops = matching.pattern_stops(distinct, tables["stops"])
-    paths = matching.monotone_with_fallback(stops, segments)
+    paths = materialize(matching.monotone_with_fallback(stops, segments))
+    if not paths.filter("path IS NULL").isEmpty():
+        raise ValueError("timetable has a stop pattern without monotone projection")
     placed = timetable.assign_pattern_stops(
         tables["stop_times"], timetable.pattern_members(patterns, distinct), matching.path_assignments(paths)
     )
@@ -48,22 +51,13 @@ def project_timetable(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def unplaced_patterns(tables: dict[str, DataFrame]) -> DataFrame:
-    """Stop patterns without any monotone placement."""
-    segments = shapes.shape_segments(tables["shape_points"])
-    distinct = timetable.distinct_patterns(timetable.stop_patterns(tables["trips"], tables["stop_times"]))
-    paths = matching.monotone_with_fallback(matching.pattern_stops(distinct, tables["stops"]), segments)
-    return distinct.select("pattern_id").join(paths.filter("path IS NOT NULL"), "pattern_id", "left_anti")
-
-
 def timetable_job(
     spark: SparkSession, path: str, feed_id: str, target: str, feeds: DataFrame, retrieved_at: str
 ) -> dict[str, int]:
     """Load one timetable version unless its content is known; write last.
 
-    Returns row counts per table, empty for known content. Placement is
-    checked and checkpointed before the first append, so a failure leaves no
-    rows of the version behind.
+    Returns row counts per table, empty for known content. Placement is done
+    and stored before the first append, so its failure leaves nothing behind.
     """
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), "content")
     if not path.endswith(".zip"):
@@ -74,8 +68,6 @@ def timetable_job(
     if version is None:
         return {}
     tables = project_timetable(read_gtfs(spark, path, feed_id))
-    if not unplaced_patterns(tables).isEmpty():
-        raise ValueError("timetable has a stop pattern without monotone projection")
     tables["stop_times"] = materialize(tables["stop_times"])
     feed = spark.createDataFrame(
         [(feed_id, version["content_hash"], retrieved_at)], "feed_id string, content_hash string, retrieved_at string"
