@@ -117,16 +117,18 @@ def travel_time_replay(pings: DataFrame, tables: dict[str, DataFrame], active: D
     """The whole chain over a history of pings: states, observations and metrics.
 
     Shuffles follow the data: by vehicle up to the crossings, by metric key
-    after them.
+    after them. Each stage is read more than once by the next, so it is
+    stored; a lost executor repeats one stage, not the chain.
     """
-    windows = sessions(correlated_windows(pings, active))
-    states = match_windows(windows, tables["shape_segments"])
+    windows = materialize(sessions(materialize(correlated_windows(pings, active))))
+    states = materialize(match_windows(windows, tables["shape_segments"]))
     crossed = crossings.interpolate_crossings(resolved_moves(states), crossings.trip_boundaries(tables["stop_times"]))
     completed = crossings.completed_segments(crossed).join(
         tables["trips"].select("feed_id", "trip_id", "direction_id"), ["feed_id", "trip_id"]
     ).withColumnRenamed("feed_id", "source_feed_id")
+    completed = materialize(completed)
     observed = samples.metric_identities(completed)
-    assessed = samples.accept_sequentially(observed)
+    assessed = materialize(samples.accept_sequentially(observed))
     return {
         "states": states, "completed": completed, "observations": assessed,
         "live": metrics.live_metrics(assessed), "daily": metrics.daily_metrics(assessed),
