@@ -5,14 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgrain.llm import exact_dedup, license_scan, quality_rules, secret_scan
+from fleetgrain.llm import exact_dedup, html_extract, license_scan, packing, piece_codec, quality_rules, secret_scan, warc
 from fleetgrain.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return rows.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
@@ -36,9 +55,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op5_exact_dedup, op6_secret_scan, op8_license_scan)
+    for f in (
+        op1_quality_rules, op2_sentencepiece, op3_packing, op4_warc, op5_exact_dedup, op6_secret_scan, op8_license_scan,
+        op9_html_extraction,
+    )
 }
 
 ORACLES: dict[str, str] = {}
