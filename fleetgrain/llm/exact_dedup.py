@@ -86,13 +86,18 @@ def ingest(batch: DataFrame, index: DigestIndex) -> DataFrame:
 def members(rows: DataFrame, settled: list[DataFrame]) -> DataFrame:
     """A row per document over all batches: doc_id, digest, keep_id, group_size, kept.
 
+    The groups are stored first: a join that also carries their aggregation could not
+    be split at a hot digest.
+
     A row whose id equals that of the row that stays is kept, so repeats of one id with
     one text are all kept.
     """
     parts = settled[0]
     for more in settled[1:]:
         parts = parts.unionByName(more)
-    groups = parts.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    groups = stored(
+        parts.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")), "digest-totals"
+    )
     return rows.join(groups, "digest").select(
         "doc_id", "digest", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept")
     )
