@@ -27,14 +27,18 @@ def hav(la1: str, lo1: str, la2: str, lo2: str) -> str:
     return f"2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians({la2} - {la1}) / 2), 2) + cos(radians({la1})) * cos(radians({la2})) * pow(sin(radians({lo2} - {lo1}) / 2), 2))))"
 
 
-ENDS = (c("la1"), c("lo1"), c("la2"), c("lo2"))
+def ends():
+    return (c("la1"), c("lo1"), c("la2"), c("lo2"))
+
+
+
 R.add(
-    "G01_haversine_m", "event_id:i, metres:f", lambda v: _pair(v).select("event_id", geo.haversine_m(*ENDS).alias("metres")),
+    "G01_haversine_m", "event_id:i, metres:f", lambda v: _pair(v).select("event_id", geo.haversine_m(*ends()).alias("metres")),
     f"WITH {PAIR_SQL} SELECT event_id, {hav('la1', 'lo1', 'la2', 'lo2')} AS metres FROM p", "pings",
 )
 BEARING = "degrees(atan2(sin(radians(lo2 - lo1)) * cos(radians(la2)), cos(radians(la1)) * sin(radians(la2)) - sin(radians(la1)) * cos(radians(la2)) * cos(radians(lo2 - lo1))))"
 R.add(
-    "G02_bearing_deg", "event_id:i, bearing:f", lambda v: _pair(v).select("event_id", geo.bearing_deg(*ENDS).alias("bearing")),
+    "G02_bearing_deg", "event_id:i, bearing:f", lambda v: _pair(v).select("event_id", geo.bearing_deg(*ends()).alias("bearing")),
     f"WITH {PAIR_SQL} SELECT event_id, CASE WHEN b < 0 THEN b + 360 ELSE b END AS bearing FROM (SELECT event_id, {BEARING} AS b FROM p) x", "pings",
 )
 R.add(
@@ -44,7 +48,7 @@ R.add(
 )
 AZIMUTH = "degrees(atan2(lo2 - lo1, la2 - la1))"
 R.add(
-    "G04_planar_azimuth", "event_id:i, azimuth:f", lambda v: _pair(v).select("event_id", geo.planar_azimuth(*ENDS).alias("azimuth")),
+    "G04_planar_azimuth", "event_id:i, azimuth:f", lambda v: _pair(v).select("event_id", geo.planar_azimuth(*ends()).alias("azimuth")),
     f"WITH {PAIR_SQL} SELECT event_id, CASE WHEN a < 0 THEN a + 360 ELSE a END AS azimuth FROM (SELECT event_id, {AZIMUTH} AS a FROM p) x", "pings",
 )
 R.add(
