@@ -109,26 +109,32 @@ def _most_different(smaller: int) -> int:
     return (100 - LEAST_PCT) * smaller // LEAST_PCT
 
 
-def signatures(grams: np.ndarray) -> np.ndarray:
-    """Signatures of a set, of which two linked sets share at least one."""
+def signatures(grams: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Signatures of a set, of which two linked sets share at least one.
+
+    Also the number of filled fragments in the set's own class, and how many signatures
+    it must share with any partner at least, whichever class they meet in.
+    """
     n = len(grams)
     if not n:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), 0, 0
     least_partner = -(-LEAST_PCT * n // 100)
     classes = {size_class(m) for m in (n, least_partner)}
     low, high = min(c[0] for c in classes), max(c[0] for c in classes)
     if high - low > 1:
         classes |= {size_class(m) for m in range(least_partner, n + 1)}
     mixed, out = mix(grams ^ _STEP), []
+    own, filled = size_class(n)[0], {}
     for number, fragments in sorted(classes):
         place = (grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        filled[number] = len(starts)
         tag = np.uint64(number) << np.uint64(48)
         out.append(mix(np.add.reduceat(mixed, starts) ^ mix(place[starts] ^ tag)))
         if len(starts) <= _most_different(n):
             prefix = grams[: n - least_partner + 1]
             out.append(mix(mix(prefix ^ tag) + _STEP))
-    return np.concatenate(out)
+    return np.concatenate(out), filled[own], max(1, min(filled.values()) - _most_different(n))
 
 
 def set_name(grams: np.ndarray) -> int:
@@ -156,24 +162,29 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node and signatures of every row, stored."""
+    """doc_id, n_shingles, filled, needed, node and signatures of every row, stored."""
     kind = docs.schema["doc_id"].dataType
-    shape = pa.schema([("doc_id", to_arrow_type(kind)), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    numbers = ("n_shingles", "filled", "needed", "node")
+    shape = pa.schema([("doc_id", to_arrow_type(kind)), *[(c, pa.int64()) for c in numbers], ("sigs", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, sigs = [], [], []
+            sizes, filled, needed, names, sigs = [], [], [], [], []
             for grams in shingle_sets(batch.column(1)):
+                made, own, least = signatures(grams)
                 sizes.append(len(grams))
+                filled.append(own)
+                needed.append(least)
                 names.append(set_name(grams) if len(grams) else None)
-                sigs.append(signatures(grams).view(np.int64))
+                sigs.append(made.view(np.int64))
             bounds = np.concatenate(([0], np.cumsum([len(s) for s in sigs], dtype=np.int64))).astype(np.int32)
             flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
             yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), flat)], schema=shape
+                [batch.column(0), *[pa.array(c, pa.int64()) for c in (sizes, filled, needed, names)], pa.ListArray.from_arrays(pa.array(bounds), flat)],
+                schema=shape,
             )
 
-    return stored(docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles bigint, node bigint, sigs array<bigint>"), "ngram-sets")
+    return stored(docs.mapInArrow(run, f"doc_id {kind.simpleString()}, {', '.join(f'{c} bigint' for c in numbers)}, sigs array<bigint>"), "ngram-sets")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -231,6 +242,23 @@ def _candidates(members: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
     return joined.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), picked.select("sig", "pivot")
 
 
+def _possible(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs whose sizes and numbers of shared signatures allow a link.
+
+    With sizes x and y a link has at most x + y - 2 * ceil(85 (x + y) / 185) n-grams in
+    one set only; each spoils at most one filled fragment of the smaller set's class.
+    """
+    columns = ("n_shingles", "filled", "sigs")
+    one = held.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = held.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    x, y = F.col("n_shingles_a"), F.col("n_shingles_b")
+    both = x + y
+    different = both - 2 * F.ceil(LEAST_PCT * both / F.lit(100 + LEAST_PCT))
+    filled = F.when(x <= y, F.col("filled_a")).otherwise(F.col("filled_b"))
+    joined = pairs.join(one, "a").join(two, "b").where(100 * F.least(x, y) >= LEAST_PCT * F.greatest(x, y))
+    return joined.where(F.size(F.array_intersect("sigs_a", "sigs_b")) >= filled - different).select("a", "b")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     ship_package(docs.sparkSession)
@@ -241,12 +269,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     single = (
         sets.join(copies, F.col("node") == F.col("c_node"), "left")
         .where("node IS NOT NULL AND doc_id IS NOT NULL AND (first IS NULL OR doc_id = first)")
-        .select("doc_id", F.explode("sigs").alias("sig"))
+        .select("doc_id", "sigs")
     )
-    shared = stored(single.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "ngram-shared")
-    members = stored(single.join(shared, "sig").select("sig", "doc_id").distinct(), "ngram-members")
-    candidates = members.select("doc_id").distinct()
-    labels = _link(slim, members, stored(candidates, "ngram-candidates"))
+    sigs = single.select("doc_id", F.explode("sigs").alias("sig"))
+    shared = stored(sigs.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "ngram-shared")
+    met = sigs.join(shared, "sig").select("sig", "doc_id").distinct()
+    sizes = sets.select("doc_id", "n_shingles", "filled", "needed").dropDuplicates(["doc_id"])
+    grouped = stored(met.groupBy("doc_id").agg(F.collect_list("sig").alias("sigs")), "ngram-met")
+    # a set that shares too few signatures with all others together links with none
+    held = stored(grouped.join(sizes, "doc_id").where(F.size("sigs") >= F.col("needed")).drop("needed"), "ngram-held")
+    labels = _link(slim, held)
 
     named = nodes.select("node", "first")
     whole = sets.select("doc_id", "n_shingles", "node").join(stored(named, "ngram-named"), "node", "left")
@@ -255,25 +287,34 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def _link(slim: DataFrame, members: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Labels of the candidates after rounds of comparison with pivots."""
-    texts = stored(slim.join(small_side(candidates, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ngram-texts")
-    number, tested, links, labels = 0, None, None, None
-    while True:
+def _open_groups(members: DataFrame, value: str) -> DataFrame:
+    """Members of the groups in which `value` is not the same for all."""
+    several = members.groupBy("sig").agg(F.min(value).alias("x"), F.max(value).alias("y")).where("x <> y").select("sig")
+    return stored(members.join(stored(several, "ngram-open"), "sig"), "ngram-members")
+
+
+def _link(slim: DataFrame, held: DataFrame) -> DataFrame:
+    """Labels of the held sets after rounds of comparison with pivots."""
+    members = _open_groups(stored(held.select("doc_id", F.explode("sigs").alias("sig")), "ngram-all-members"), "doc_id")
+    candidates = held.select("doc_id")
+    labels = stored(candidates.select("doc_id", F.col("doc_id").alias("component")), "ngram-labels")
+    number, tested, links = 0, None, None
+    while not members.isEmpty():
         pairs, pivots = _candidates(members, number)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "ngram-pairs")
-        found = verify(pairs, texts)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if labels is None or not found.isEmpty():
-            labels = components(candidates, links)
+        possible = stored(_possible(pairs, held), "ngram-possible")
+        if not possible.isEmpty():
+            needed = stored(possible.select(F.col("a").alias("doc_id")).union(possible.select("b")).distinct(), "ngram-needed")
+            texts = slim.join(small_side(needed, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+            found = verify(possible, stored(texts, "ngram-texts"))
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                labels = components(candidates, links)
         # pivots have met all of their group; a rest in one component needs no more
         rest = members.select("sig", "doc_id").join(pivots.select("sig", F.col("pivot").alias("doc_id")), ["sig", "doc_id"], "left_anti")
-        rest = stored(rest.join(labels, "doc_id").select("sig", "doc_id", "component"), "ngram-rest")
-        open_ = rest.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-        members = stored(rest.join(stored(open_, "ngram-open"), "sig"), "ngram-members")
-        if members.isEmpty():
-            return labels
+        members = _open_groups(stored(rest.join(labels, "doc_id").select("sig", "doc_id", "component"), "ngram-rest"), "component")
         number += 1
+    return labels

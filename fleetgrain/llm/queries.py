@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgrain.llm import exact_dedup, html_extract, license_scan, packing, piece_codec, quality_rules, secret_scan, warc
+from fleetgrain.llm import exact_dedup, html_extract, license_scan, ngram_join, packing, piece_codec, quality_rules, secret_scan, suffix_dedup, warc
 from fleetgrain.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -59,11 +63,15 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_sentencepiece, op3_packing, op4_warc, op5_exact_dedup, op6_secret_scan, op8_license_scan,
-        op9_html_extraction,
+        op1_quality_rules, op2_sentencepiece, op3_packing, op4_warc, op5_exact_dedup, op6_secret_scan, op7_suffix_dedup,
+        op8_license_scan, op9_html_extraction, op10_ngram_join,
     )
 }
 
