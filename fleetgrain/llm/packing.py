@@ -43,8 +43,11 @@ END_ID = 2
 #: Tokens of one step, in windows of the longest tier.
 STEP_WINDOWS = 64
 #: Documents whose ids are held at once; beyond it, the windows that are full leave.
-HELD_TOKENS = 4 << 20
+HELD_TOKENS = 2 << 20
 REMEMBERED = 600_000
+#: Characters that are tokenized at once; longer texts are cut at white space.
+SLICE_CHARS = 1 << 20
+_SPACES = (" ", "\n", "\t", "\r", "\x0b", "\x0c")
 
 
 class WordIds:
@@ -75,6 +78,38 @@ class WordIds:
             self.bounds.append(self.used)
         return np.fromiter((index[w] for w in words), dtype=np.int64, count=len(words))
 
+    def of_rows(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """Row and ids of each text, a slice of the texts at a time."""
+        parts: list[str] = []
+        rows: list[int] = []
+        size, waiting = 0, []  # ids of the last row so far
+
+        def coded() -> Iterator[tuple[int, np.ndarray]]:
+            ids, bounds = self.ids(pa.array(parts, pa.large_string()))
+            return ((r, ids[a:b]) for r, a, b in zip(list(rows), bounds[:-1], bounds[1:], strict=True))
+
+        def flush(last: bool) -> Iterator[tuple[int, np.ndarray]]:
+            nonlocal size, waiting
+            for row, ids in coded():
+                if waiting and waiting[0][0] != row:
+                    yield waiting[0][0], np.concatenate([w[1] for w in waiting])
+                    waiting = []
+                waiting.append((row, ids.copy()))
+            if last and waiting:
+                yield waiting[0][0], np.concatenate([w[1] for w in waiting])
+            parts.clear()
+            rows.clear()
+            size = 0
+
+        for row, text in enumerate(texts):
+            for part in _cut_text(text.as_py() or ""):
+                parts.append(part)
+                rows.append(row)
+                size += len(part)
+                if size >= SLICE_CHARS:
+                    yield from flush(False)
+        yield from flush(True)
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text begins and the last ends."""
         if len(self.index) > REMEMBERED:
@@ -90,6 +125,19 @@ class WordIds:
         return self.flat[take], ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
 
+def _cut_text(text: str) -> Iterator[str]:
+    """Parts of a text of about SLICE_CHARS, cut after white space."""
+    at = 0
+    while len(text) - at > SLICE_CHARS:
+        cut = max(text.rfind(c, at, at + SLICE_CHARS) for c in _SPACES) + 1
+        if cut <= at:  # one word longer than a slice
+            after = [k for k in (text.find(c, at + SLICE_CHARS) for c in _SPACES) if k >= 0]
+            cut = min(after, default=len(text) - 1) + 1
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
@@ -230,13 +278,13 @@ def pack(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIERS, id_co
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
         for batch in batches:
-            ids, bounds = word_ids(vocabulary).ids(batch.column(1))
-            for k, name in enumerate(batch.column(0).to_pylist()):
-                whole = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(END_ID))
-                held.append((name, whole, 0, len(whole)))
+            names = batch.column(0)
+            for k, ids in word_ids(vocabulary).of_rows(batch.column(1)):
+                whole = np.append(ids, np.uint32(END_ID))
+                held.append((names[k].as_py(), whole, 0, len(whole)))
                 size += len(whole)
-            if size >= HELD_TOKENS:
-                yield from leave(False)
+                if size >= HELD_TOKENS:
+                    yield from leave(False)
         yield from leave(True)
 
     return slim.mapInArrow(run, ddl)
