@@ -37,6 +37,8 @@ MARK = "▁"
 MARK_BYTES = len(MARK.encode())
 #: Distinct cuts a worker remembers before it starts anew.
 REMEMBERED = 400_000
+#: Characters of the texts that are encoded at once.
+SLICE_CHARS = 1 << 20
 _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -150,6 +152,8 @@ class Codec:
         self.cutter = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         bytes_, unknown = sentencepiece_model_pb2.ModelProto.SentencePiece.BYTE, model.trainer_spec.unk_id
         self.widths = np.array([1 if p.type == bytes_ else len(p.piece.encode()) for p in model.pieces], dtype=np.int32)
+        marks = np.array([0 if p.type == bytes_ else p.piece.count(MARK) for p in model.pieces], dtype=np.int64)
+        self.source_widths = self.widths - (MARK_BYTES - 1) * marks
         self.unknown = unknown
         # with a mark inside a piece cuts could split it; then a text is one cut
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in model.pieces)
@@ -157,7 +161,8 @@ class Codec:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.flat = np.zeros(1 << 16, dtype=np.int32)
+        self.bounds: list[int] = [0]
         self.shown: list[str] = []
 
     def trim(self) -> None:
@@ -171,11 +176,23 @@ class Codec:
         new = [c for c in dict.fromkeys(cuts) if c not in index]
         if new:
             for cut, ids in zip(new, self.cutter.encode(new, num_threads=1), strict=True):
-                index[cut] = len(self.ids)
-                self.ids.append(np.array(ids, dtype=np.int32))
+                begin = self.bounds[-1]
+                while begin + len(ids) > len(self.flat):
+                    self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+                self.flat[begin : begin + len(ids)] = ids
+                index[cut] = len(self.shown)
+                self.bounds.append(begin + len(ids))
                 self.shown.append(",".join(map(str, ids)))
         return np.fromiter((index[c] for c in cuts), dtype=np.int64, count=len(cuts))
 
+    def ids_at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the cuts at `places` in a row, and where each cut begins and the last ends."""
+        bounds = np.array(self.bounds, dtype=np.int64)
+        begin = bounds[places]
+        count = bounds[places + 1] - begin
+        ends = np.concatenate(([0], np.cumsum(count)))
+        return self.flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], count)], ends
+
     def _ends(self, normal: bytes, ids: np.ndarray) -> np.ndarray:
         """End of each piece in the normal bytes."""
         widths = self.widths[ids].astype(np.int64)
@@ -194,7 +211,7 @@ class Codec:
         cuts = self._cut(normal.decode())
         if not cuts:
             return empty.astype(np.int32), empty, empty
-        ids = np.concatenate([self.ids[i] for i in self.learn(cuts)])
+        ids, _ = self.ids_at(self.learn(cuts))
         ends = self._ends(normal, ids)
         places = np.array(places, dtype=np.int64)
         begins = np.concatenate(([0], ends[:-1]))
@@ -205,62 +222,75 @@ class Codec:
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str, int]]:
         """(pieces, hash of the ids, hash of the decoded text, CRC of the spans) of each text."""
-        self.trim()
-        texts = [t or "" for t in texts]
-        if self.normalizer.plain and self.cuts:
-            coded = self._coded_plain(texts)
-        else:
-            coded = (self.learn(self._cut(self.normalizer.run(t)[0].decode())) if t else np.zeros(0, np.int64) for t in texts)
-        for text, places in zip(texts, coded, strict=True):
-            parts = [self.ids[i] for i in places.tolist()]
-            ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            shown = ",".join([self.shown[i] for i in places.tolist()])
-            decoded = self.whole.decode(ids.tolist()) if len(ids) else ""
-            yield (
-                len(ids),
-                hashlib.sha256(shown.encode()).hexdigest(),
-                hashlib.sha256(decoded.encode()).hexdigest(),
-                self._span_crc(text, ids),
-            )
+        for part in slices(texts):
+            self.trim()
+            coded = self._coded(part)
+            lengths = [len(c) for c in coded]
+            ids, ends = self.ids_at(np.concatenate(coded) if coded else np.zeros(0, np.int64))
+            bounds = ends[np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))]
+            for text, places, a, b in zip(part, coded, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                own = ids[a:b]
+                shown = ",".join([self.shown[i] for i in places.tolist()])
+                decoded = self.whole.decode(own.tolist()) if b > a else ""
+                yield (
+                    b - a,
+                    hashlib.sha256(shown.encode()).hexdigest(),
+                    hashlib.sha256(decoded.encode()).hexdigest(),
+                    self._span_crc(text, own),
+                )
 
     def _span_crc(self, text: str, ids: np.ndarray) -> int:
         if not len(ids):
             return 0
         if self.normalizer.plain and MARK not in text and not (ids == self.unknown).any():
             # alignment of the plain map: a mark is one source byte, the leading one none
-            source = np.frombuffer(text.encode(), dtype=np.uint8)
-            widths = np.where(source == 0x20, MARK_BYTES, 1)
-            normal_at = np.concatenate(([MARK_BYTES], MARK_BYTES + np.cumsum(widths)))
-            ends = np.searchsorted(normal_at, np.cumsum(self.widths[ids]))
+            ends = np.cumsum(self.source_widths[ids]) - 1
             begins = np.concatenate(([0], ends[:-1]))
         else:
             _, begins, ends = self.encode(text)
         return zlib.crc32(np.column_stack((begins, ends)).astype("<i8").tobytes())
 
-    def _coded_plain(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def _coded(self, texts: list[str]) -> list[np.ndarray]:
         """Remembered places of the cuts of each text, many texts at once.
 
-        Where blanks are single, cuts are the words between them.
+        With a plain map and single blanks, cuts are the words between the blanks.
         """
-        odd = [("  " in t or t.endswith(" ") or t.startswith(" ") or MARK in t) for t in texts]
+        plain = self.normalizer.plain and self.cuts
+        odd = [not plain or "  " in t or t.endswith(" ") or t.startswith(" ") or MARK in t for t in texts]
         flat = pa.array(["" if o else t for t, o in zip(texts, odd, strict=True)], type=pa.large_string())
         lists = pc.split_pattern(flat, " ")
         coded = lists.values.dictionary_encode()
         learned = self.learn([MARK + w for w in coded.dictionary.to_pylist()])
         places = learned[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else learned
         bounds = lists.offsets.to_numpy()
+        out = []
         for k, text in enumerate(texts):
             if not text:
-                yield np.zeros(0, dtype=np.int64)
+                out.append(np.zeros(0, dtype=np.int64))
             elif odd[k]:
-                yield self.learn(self._cut(MARK + text.replace(" ", MARK)))
+                out.append(self.learn(self._cut(self.normalizer.run(text)[0].decode() if not plain else MARK + text.replace(" ", MARK))))
             else:
-                yield places[bounds[k] : bounds[k + 1]]
+                out.append(places[bounds[k] : bounds[k + 1]])
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return self.whole.decode(ids) if len(ids) else ""
 
 
+def slices(texts: list[str | None]) -> Iterator[list[str]]:
+    """The texts, null as empty, about SLICE_CHARS at a time."""
+    part: list[str] = []
+    size = 0
+    for text in texts:
+        part.append(text or "")
+        size += len(part[-1])
+        if size >= SLICE_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
