@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """`df` written below the shared checkpoint folder and read again.
 
@@ -42,6 +49,11 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df.hint("merge")
 
 
+def without(df: DataFrame, id_col: str, dropped: DataFrame, dropped_col: str) -> DataFrame:
+    """`df` without the rows whose id `dropped`, a stored table, lists; rows without id stay."""
+    return df.join(small_side(dropped.select(F.col(dropped_col).alias("__dropped")), 16), df[id_col] == F.col("__dropped"), "left_anti")
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use(value)` with `value` computed once, however often `use` reads it."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -142,12 +142,12 @@ def compile_rules(rules: tuple[Rule, ...]) -> dict[str, Column]:
     return out
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, the base verdict, each rule's verdict and `kept` for every row."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _judged(slim: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """`slim` (doc_id, text and columns to carry) without its text, with counts and verdicts."""
+    carried = [c for c in slim.columns if c != "text"]
     counts = (
         slim.withColumn("words", words_of(F.col("text")))
-        .select("doc_id", *[c.alias(k) for k, c in text_metrics(F.col("text"), F.col("words")).items()])
+        .select(*carried, *[c.alias(k) for k, c in text_metrics(F.col("text"), F.col("words")).items()])
         .withColumns({"n_lines": F.col("lines")["n"].cast("long"), "n_dup_lines": F.col("lines")["dup"].cast("long")})
         .drop("lines")
     )
@@ -163,8 +163,20 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
         }
     )
     checks = compile_rules(rules)
-    judged = ratios.withColumns(checks)
     verdict = ~F.col("base_failed")
     for name in checks:
         verdict = verdict & F.col(name)
-    return judged.withColumn("kept", verdict)
+    return ratios.withColumns(checks).withColumn("kept", verdict)
+
+
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts, the base verdict, each rule's verdict and `kept` for every row."""
+    return _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rules)
+
+
+def kept_rows(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that pass, with all their columns; each row is judged where it is."""
+    slim = docs.select(F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    # a filter is not pushed below a row number, so the verdict's parts are computed once
+    numbered = _judged(slim, rules).withColumn("at", F.monotonically_increasing_id())
+    return numbered.where("kept AND at >= 0").select("row.*")

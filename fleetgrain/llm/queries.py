@@ -6,14 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgrain.llm import exact_dedup, html_extract, license_scan, ngram_join, packing, piece_codec, quality_rules, secret_scan, suffix_dedup, warc
-from fleetgrain.llm.common import table
-
-
-def vocabulary(name: str) -> str:
-    """Place of a public vocabulary file; the operators take any path."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from fleetgrain.llm.common import table, vocabulary
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

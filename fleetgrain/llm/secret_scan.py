@@ -163,14 +163,19 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
 
 
-def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
+def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **columns) -> DataFrame:
     """`docs` with live-looking secrets replaced in the text; all other rows and columns stay.
 
-    Widely copied examples stay as they are.
+    Widely copied examples stay as they are. `length_col` is set to the code points of
+    the texts that change.
     """
     judged = verdicts(find(docs, id_col, text_col, **columns)).where("n_live > 0")
     live = judged.select(F.col("doc_id").alias("__id"), F.col("live_values").alias("__live"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     hit = F.filter(all_spans(text), lambda s: F.array_contains(F.col("__live"), s["value"]))
     joined = docs.join(small_side(stored(live, "secret-live"), 200), docs[id_col] == F.col("__id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("__live").isNotNull(), redact(text, hit)).otherwise(F.col(text_col))).select(*docs.columns)
+    joined = joined.withColumn("__new", F.when(F.col("__live").isNotNull(), redact(text, hit)))
+    changed = {text_col: F.coalesce("__new", text_col)}
+    if length_col is not None:
+        changed[length_col] = F.coalesce(F.length("__new").cast(docs.schema[length_col].dataType), F.col(length_col))
+    return joined.withColumns(changed).select(*docs.columns)
