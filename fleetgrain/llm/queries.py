@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetgrain.llm import exact_dedup, html_extract, license_scan, ngram_join, packing, piece_codec, quality_rules, secret_scan, suffix_dedup, warc
 from fleetgrain.llm.common import table, vocabulary
+from fleetgrain.llm.oracles import all_sql
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = all_sql()
