@@ -144,7 +144,7 @@ def asked_pairs(v):
     """Every measured pair once, some with a route and direction."""
     seen = observed(v).groupBy("origin_stop_id", "destination_stop_id").agg(F.min("route_id").alias("r"))
     # route given for about half the pairs: by the parity of the stop numbers
-    with_route = F.substring("origin_stop_id", 2, 9).cast("int") % 2 == 0
+    with_route = F.expr("try_cast(substr(origin_stop_id, 2) AS BIGINT) % 2 = 0")
     return seen.select("origin_stop_id", "destination_stop_id", F.when(with_route, c("r")).alias("route_id"), F.when(with_route, F.lit(1)).alias("direction_id"))
 
 

@@ -86,7 +86,7 @@ R.add(
 R.add(
     "W14_sort_fleet", "vehicle_prefix:s, sort_key:s",
     lambda v: fleet.sort_fleet(fleet_view(v), "vehicle_prefix", "desc").select("vehicle_prefix", fleet.natural_key(c("vehicle_prefix")).alias("sort_key")),
-    f"WITH {FLEET_SQL} SELECT vehicle_prefix, concat('v', lpad(substr(vehicle_prefix, 2), 12, '0')) AS sort_key FROM fleet", FLEET_VIEWS,
+    f"WITH {FLEET_SQL} SELECT vehicle_prefix, concat('v', lpad(CAST(length(ltrim(substr(vehicle_prefix, 2), '0')) AS VARCHAR), 6, '0'), ltrim(substr(vehicle_prefix, 2), '0')) AS sort_key FROM fleet", FLEET_VIEWS,
 )
 R.add(
     "W15_search_top", "vehicle_prefix:s", lambda v: fleet.search_top(fleet_view(v), " V12 "),
@@ -144,38 +144,50 @@ def open_groups(v):
     return groups(v).withColumn("first_departure_at", c("first_departure_at") + F.expr("INTERVAL 14 DAYS"))
 
 
-def early_decisions(v):
-    return decisions.decision_state(v.decision_events.filter("occurred_at < '2024-01-03'"))
+def open_decisions(v):
+    """State of all decisions, where keys of even number end as claimed instead of final."""
+    ends = (F.expr("CAST(substr(execution_key, 2) AS BIGINT) % 2 = 0")) & c("status").isin(*decisions.FINAL)
+    events = v.decision_events.withColumns(
+        {"status": F.when(ends, "claimed").otherwise(c("status")), "reason": F.when(~ends, c("reason"))})
+    return decisions.decision_state(events)
 
 
-EARLY_SQL = STATE_SQL.replace("FROM decision_events WHERE (", "FROM decision_events WHERE occurred_at < TIMESTAMP '2024-01-03' AND ((").replace("reason IS NULL)),", "reason IS NULL))),", 1)
+ENDS_SQL = "CAST(substr(execution_key, 2) AS BIGINT) % 2 = 0 AND status IN ('executed', 'rejected')"
+OPEN_SQL = STATE_SQL.replace(
+    "FROM decision_events WHERE", f"FROM (SELECT * REPLACE (CASE WHEN {ENDS_SQL} THEN 'claimed' ELSE status END AS status, CASE WHEN NOT ({ENDS_SQL}) THEN reason END AS reason) FROM decision_events) q WHERE")
 R.add(
-    "W16_rank_groups", "execution_key:s, effective_status:s, status_rank:i, saved_delay_seconds:i", lambda v: decisions.rank_groups(open_groups(v), early_decisions(v), MIDDLE),
-    f"""WITH {EARLY_SQL}, {GROUP_SQL}, e AS (SELECT g.*, CASE WHEN s.status IN ('executed', 'rejected') THEN s.status WHEN first_departure_at <= TIMESTAMP '{MIDDLE}' THEN 'expired' ELSE coalesce(s.status, 'new') END AS effective_status FROM grp g LEFT JOIN state s USING (execution_key))
+    "W16_rank_groups", "execution_key:s, effective_status:s, status_rank:i, saved_delay_seconds:i", lambda v: decisions.rank_groups(open_groups(v), open_decisions(v), MIDDLE),
+    f"""WITH {OPEN_SQL}, {GROUP_SQL}, e AS (SELECT g.*, CASE WHEN s.status IN ('executed', 'rejected') THEN s.status WHEN first_departure_at <= TIMESTAMP '{MIDDLE}' THEN 'expired' ELSE coalesce(s.status, 'new') END AS effective_status FROM grp g LEFT JOIN state s USING (execution_key))
 SELECT *, list_position(['claimed', 'in_analysis', 'new', 'expired', 'rejected', 'executed'], effective_status) AS status_rank FROM e""",
     "decision_events",
 )
 R.add(
     "W18_recent_decisions", "execution_key:s, updated_at:t", lambda v: decisions.recent_decisions(decisions.decision_state(v.decision_events), "2024-01-03 00:00:00"),
-    f"WITH {STATE_SQL} SELECT execution_key, occurred_at AS updated_at FROM state WHERE occurred_at >= TIMESTAMP '2024-01-02' ORDER BY occurred_at DESC, execution_key LIMIT 500", "decision_events",
+    f"WITH {STATE_SQL} SELECT execution_key, occurred_at AS updated_at FROM state WHERE occurred_at >= TIMESTAMP '2024-01-02' ", "decision_events",
 )
+def _asked(v):
+    """All decisions; every third names a group of an earlier prescription."""
+    old = F.expr("CAST(substr(execution_key, 2) AS BIGINT) % 3 = 0")
+    return decisions.decision_state(v.decision_events).withColumn("execution_key", F.when(old, F.concat("execution_key", F.lit("-old"))).otherwise(c("execution_key")))
+
+
 R.add(
-    "J22_validate_current_groups", "execution_key:s, status:s", lambda v: decisions.validate_current_groups(decisions.decision_state(v.decision_events), open_groups(v).filter("saved_delay_seconds > 29000")),
-    f"WITH {STATE_SQL}, {GROUP_SQL} SELECT execution_key, status FROM state WHERE execution_key IN (SELECT execution_key FROM grp WHERE saved_delay_seconds > 29000)", "decision_events",
+    "J22_validate_current_groups", "execution_key:s, status:s", lambda v: decisions.validate_current_groups(_asked(v), open_groups(v)),
+    f"WITH {STATE_SQL}, {GROUP_SQL}, asked AS (SELECT CASE WHEN CAST(substr(execution_key, 2) AS BIGINT) % 3 = 0 THEN concat(execution_key, '-old') ELSE execution_key END AS execution_key, status FROM state) SELECT execution_key, status FROM asked WHERE execution_key IN (SELECT execution_key FROM grp)", "decision_events",
 )
 
 
 R.add(
     "A18_urgent_actions", "execution_key:s, vehicle_prefix:s, departure_at:t",
-    lambda v: decisions.urgent_actions(v.commitments.withColumn("execution_key", F.concat(F.lit("G"), F.abs(F.floor(c("arrival_s") / 60)).cast("string"))), early_decisions(v)),
-    f"""WITH {EARLY_SQL} SELECT execution_key, vehicle_prefix, departure_at FROM (SELECT *, concat('G', CAST(abs(CAST(floor(arrival_s / 60) AS BIGINT)) AS VARCHAR)) AS execution_key FROM commitments) x
+    lambda v: decisions.urgent_actions(v.commitments.withColumn("execution_key", F.concat(F.lit("G"), F.abs(F.floor(c("arrival_s") / 60)).cast("string"))), open_decisions(v)),
+    f"""WITH {OPEN_SQL} SELECT execution_key, vehicle_prefix, departure_at FROM (SELECT *, concat('G', CAST(abs(CAST(floor(arrival_s / 60) AS BIGINT)) AS VARCHAR)) AS execution_key FROM commitments) x
  WHERE execution_key NOT IN (SELECT execution_key FROM state WHERE status IN ('executed', 'rejected')) ORDER BY departure_at, terminal_id, vehicle_prefix LIMIT 4""",
     "decision_events commitments",
 )
 R.add(
     "A15_prescription_kpis", "threatened_trips:i, pending_groups:i, recoverable_seconds:i",
-    lambda v: fleet.prescription_kpis(v.commitments.withColumn("baseline_delay_seconds", F.greatest(F.lit(0), c("arrival_s") - c("departure_s"))), open_groups(v), early_decisions(v)),
-    f"""WITH {EARLY_SQL}, {GROUP_SQL}, p AS (SELECT count(*) AS pending_groups, coalesce(sum(saved_delay_seconds), 0) AS recoverable_seconds FROM grp WHERE execution_key NOT IN (SELECT execution_key FROM state WHERE status IN ('executed', 'rejected')))
+    lambda v: fleet.prescription_kpis(v.commitments.withColumn("baseline_delay_seconds", F.greatest(F.lit(0), c("arrival_s") - c("departure_s"))), open_groups(v), open_decisions(v)),
+    f"""WITH {OPEN_SQL}, {GROUP_SQL}, p AS (SELECT count(*) AS pending_groups, coalesce(sum(saved_delay_seconds), 0) AS recoverable_seconds FROM grp WHERE execution_key NOT IN (SELECT execution_key FROM state WHERE status IN ('executed', 'rejected')))
 SELECT count(*) FILTER (arrival_s - departure_s > 600) AS threatened_trips, max(pending_groups) AS pending_groups, max(recoverable_seconds) AS recoverable_seconds FROM commitments, p""",
     "decision_events commitments",
 )

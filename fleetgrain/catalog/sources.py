@@ -23,7 +23,7 @@ def timetable_folder(v) -> str:
     day = lambda d: F.date_format(d, "yyyyMMdd")
     members = {
         "agency.txt": v.nation.select(c("n_nationkey").alias("agency_id"), c("n_name").alias("agency_name"), F.lit("http://localhost").alias("agency_url"), F.lit("America/Sao_Paulo").alias("agency_timezone")),
-        "calendar.txt": v.services.filter("sunday = false").select("service_id", *[flag(d) for d in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")], day("start_date").alias("start_date"), day("end_date").alias("end_date")),
+        "calendar.txt": v.services.select("service_id", *[flag(d) for d in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")], day("start_date").alias("start_date"), day("end_date").alias("end_date")),
         "calendar_dates.txt": v.exceptions.select("service_id", day("service_date").alias("date"), "exception_type"),
         "feed_info.txt": v.region.agg(F.min("r_name").alias("feed_publisher_name")).withColumn("feed_lang", F.lit("pt")),
         "routes.txt": v.routes.select("route_id", c("short_name").alias("route_short_name"), c("long_name").alias("route_long_name"), F.lit(3).alias("route_type")),
@@ -37,7 +37,7 @@ def timetable_folder(v) -> str:
     return folder
 
 
-COUNT_SQL = """SELECT 'agencies' AS table_name, count(*) AS rows FROM nation UNION ALL SELECT 'services', count(*) FROM (SELECT service_id FROM services WHERE NOT sunday UNION SELECT service_id FROM exceptions)
+COUNT_SQL = """SELECT 'agencies' AS table_name, count(*) AS rows FROM nation UNION ALL SELECT 'services', count(*) FROM (SELECT service_id FROM services UNION SELECT service_id FROM exceptions)
 UNION ALL SELECT 'service_exceptions', count(*) FROM exceptions UNION ALL SELECT 'routes', count(*) FROM routes UNION ALL SELECT 'shape_points', count(*) FROM shape_points
 UNION ALL SELECT 'stops', count(*) FROM stops UNION ALL SELECT 'trips', count(*) FROM trips UNION ALL SELECT 'stop_times', count(*) FROM stop_times UNION ALL SELECT 'feed_info', 1"""
 VIEWS = "services exceptions routes shape_points stops trips stop_times"

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetgrain.catalog.entries import Registry
-from fleetgrain.catalog.fleet import EARLY_SQL, early_decisions
+from fleetgrain.catalog.fleet import OPEN_SQL, open_decisions
 from fleetgrain.catalog.scalars import _payload
 from fleetgrain.catalog.views import AT
 from fleetgrain.operators import decisions, fleet, swaps
@@ -20,7 +20,7 @@ T = f"TIMESTAMP '{AT}'"
 def _states(v):
     return v.states.select(
         "vehicle_prefix", "trip_id", F.concat(F.lpad((c("trip_id") % 24).cast("string"), 2, "0"), F.lit(":30")).alias("next_planned_time"),
-        F.when(c("trip_id") % 9 > 0, F.concat(F.lit("T"), F.substring("route_id", 2, 9))).alias("next_trip_point"),
+        F.when(c("trip_id") % 9 > 0, F.concat(F.lit("T"), F.expr("substr(route_id, 2)"))).alias("next_trip_point"),
         F.lit("1").alias("next_schedule_position"), c("current_line").alias("next_line"), F.lit("0").alias("next_direction"), c("headsign").alias("next_trip_destination"))
 
 
@@ -123,12 +123,12 @@ R.add(
 
 
 def _grouped(v):
-    return rotated(v).filter("changed").select("terminal_id", "vehicle_prefix", F.concat("terminal_id", F.lit("-G01")).alias("group_id"), F.concat(F.lit("G"), F.substring("terminal_id", 2, 9)).alias("execution_key"))
+    return rotated(v).filter("changed").select("terminal_id", "vehicle_prefix", F.concat("terminal_id", F.lit("-G01")).alias("group_id"), F.concat(F.lit("G"), F.expr("substr(terminal_id, 2)")).alias("execution_key"))
 
 
 R.add(
-    "W17_assignment_rows", "terminal_id:s, vehicle_prefix:s, group_id:s, decision_status:s, is_final:b", lambda v: decisions.assignment_rows(rotated(v), _grouped(v), early_decisions(v)),
-    f"""WITH {EARLY_SQL}, {ROT_SQL} SELECT r.terminal_id, r.vehicle_prefix, concat(r.terminal_id, '-G01') AS group_id, s.status AS decision_status, coalesce(s.status IN ('executed', 'rejected'), false) AS is_final
+    "W17_assignment_rows", "terminal_id:s, vehicle_prefix:s, group_id:s, decision_status:s, is_final:b", lambda v: decisions.assignment_rows(rotated(v), _grouped(v), open_decisions(v)),
+    f"""WITH {OPEN_SQL}, {ROT_SQL} SELECT r.terminal_id, r.vehicle_prefix, concat(r.terminal_id, '-G01') AS group_id, s.status AS decision_status, coalesce(s.status IN ('executed', 'rejected'), false) AS is_final
  FROM rot r LEFT JOIN state s ON s.execution_key = concat('G', substr(r.terminal_id, 2)) WHERE r.n > 1""",
     "decision_events commitments",
 )

@@ -54,10 +54,10 @@ R.add(
 def requested(v):
     """Stop pairs with route and direction, as asked for by vehicles on the road."""
     pairs = timetable.adjacent_stop_pairs(v.stop_times).join(v.trips.select("feed_id", "trip_id", "route_id", "direction_id"), ["feed_id", "trip_id"])
-    return pairs.filter("origin_stop_sequence = 2 AND origin_stop_id <> destination_stop_id").select("origin_stop_id", "destination_stop_id", "route_id", "direction_id").distinct()
+    return pairs.filter("origin_stop_id <> destination_stop_id").select("origin_stop_id", "destination_stop_id", "route_id", "direction_id").distinct()
 
 
-REQ_SQL = f"{ADJ_SQL}, req AS (SELECT DISTINCT origin_stop_id, destination_stop_id, route_id, direction_id FROM adj JOIN trips USING (trip_id) WHERE origin_stop_sequence = 2 AND origin_stop_id <> destination_stop_id)"
+REQ_SQL = f"{ADJ_SQL}, req AS (SELECT DISTINCT origin_stop_id, destination_stop_id, route_id, direction_id FROM adj JOIN trips USING (trip_id) WHERE origin_stop_id <> destination_stop_id)"
 
 
 def traversals(v):
@@ -131,7 +131,7 @@ R.add(
 def _assigned(v):
     patterns = timetable.stop_patterns(v.trips, v.stop_times)
     distinct = timetable.distinct_patterns(patterns)
-    per_stop = distinct.select("pattern_id", F.posexplode("stop_ids").alias("p", "s")).filter("p < 3")
+    per_stop = distinct.select("pattern_id", F.posexplode("stop_ids").alias("p", "s"))
     new = per_stop.select(
         "pattern_id", (c("p") + 1).alias("stop_ordinal"), (c("p") / 10.0).alias("shape_position"), (c("p") * 100.0).alias("shape_progress_m"),
         F.lit(12.0).alias("distance_to_shape_m"), F.lit("valid").alias("quality"))
@@ -141,8 +141,8 @@ def _assigned(v):
 R.add(
     "J18_assign_pattern_stops", "trip_id:i, stop_sequence:i, shape_position:f, shape_progress_m:f, distance_to_shape_m:f, quality:s", _assigned,
     """WITH o AS (SELECT s.*, row_number() OVER (PARTITION BY trip_id ORDER BY stop_sequence) AS n, t.shape_id FROM stop_times s LEFT JOIN trips t USING (trip_id))
-SELECT trip_id, stop_sequence, CASE WHEN n <= 3 AND shape_id IS NOT NULL THEN (n - 1) / 10.0 ELSE shape_position END AS shape_position, CASE WHEN n <= 3 AND shape_id IS NOT NULL THEN (n - 1) * 100.0 ELSE shape_progress_m END AS shape_progress_m,
- CASE WHEN n <= 3 AND shape_id IS NOT NULL THEN 12.0 END AS distance_to_shape_m, CASE WHEN n <= 3 AND shape_id IS NOT NULL THEN 'valid' ELSE quality END AS quality FROM o""",
+SELECT trip_id, stop_sequence, CASE WHEN shape_id IS NOT NULL THEN (n - 1) / 10.0 ELSE shape_position END AS shape_position, CASE WHEN shape_id IS NOT NULL THEN (n - 1) * 100.0 ELSE shape_progress_m END AS shape_progress_m,
+ CASE WHEN shape_id IS NOT NULL THEN 12.0 END AS distance_to_shape_m, CASE WHEN shape_id IS NOT NULL THEN 'valid' ELSE quality END AS quality FROM o""",
     "stop_times trips",
 )
 R.add(

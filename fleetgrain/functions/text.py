@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,13 +58,50 @@ def locale_number(c: Column) -> Column:
 
 
 def canonical_text(c: Column) -> Column:
-    """Accents off, blanks collapsed, lower case; exact for Latin letters.
+    """Accents off, compatibility forms resolved, blanks collapsed, case folded.
 
-    Stays inside code generation. Text beyond Latin accents needs the full
-    Unicode decomposition of `canonical_text_unicode`.
+    Plain text and Latin accents stay inside code generation. Other text goes letter by
+    letter through tables made from the Unicode data: letters with one plain letter are
+    translated, combining marks dropped, letters with several replaced. Only Korean
+    syllables are left whole, which keeps equal texts equal.
     """
-    plain = F.translate(F.coalesce(stripped(c), F.lit("")), _ACCENTED, _PLAIN)
-    return F.lower(F.regexp_replace(plain, r"\s+", " "))
+    text = F.coalesce(stripped(c), F.lit(""))
+    plain = F.lower(F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\s+", " "))
+    one_from, one_to, several = _letter_tables()
+    forms = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    spread = F.transform(F.split(text, ""), lambda x: F.coalesce(F.when(x.rlike(_FEW), None).otherwise(F.try_element_at(forms, x)), x))
+    folded = F.translate(F.array_join(spread, ""), one_from, one_to)
+    full = F.btrim(F.regexp_replace(folded, r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", " "))
+    return F.when(text.rlike(f"^[\\x00-\\x7F{_ACCENTED}]*$"), plain).otherwise(full)
+
+
+_FEW = r"^[\x00-\x7F]$"
+
+
+@lru_cache(maxsize=1)
+def _letter_tables() -> tuple[str, str, dict[str, str]]:
+    """Letters with one plain form, those forms, and letters with several, by rule.
+
+    Letters without any, such as combining marks, stand last in the first table, past
+    the end of the second, where translation drops them.
+    """
+    one: dict[str, str] = {}
+    several: dict[str, str] = {}
+    dropped: list[str] = []
+    for code in range(1, 0x20000):
+        letter = chr(code)
+        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF or letter.isspace():
+            continue
+        kept = "".join(x for x in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(x)).casefold()
+        if kept == letter:
+            continue
+        if not kept:
+            dropped.append(letter)
+        elif len(kept) == 1:
+            one[letter] = kept
+        else:
+            several[letter] = kept
+    return "".join(one) + "".join(dropped), "".join(one.values()), several
 
 
 @F.pandas_udf(StringType())

@@ -13,7 +13,6 @@ from fleetgrain.operators.ordered import hour_chunk, max_before
 FINAL = ("executed", "rejected")
 # List order of effective states.
 STATUS_ORDER = ("claimed", "in_analysis", "new", "expired", "rejected", "executed")
-RECENT_LIMIT = 500
 
 
 def _rank() -> Column:
@@ -107,13 +106,10 @@ def assignment_rows(
     )
 
 
-def recent_decisions(decisions: DataFrame, at: Column | str, limit: int = RECENT_LIMIT) -> DataFrame:
-    """Last 24 hours, newest first."""
-    return (
-        decisions.filter(fresh(F.col("updated_at"), at_lit(at), DECISION_SECONDS))
-        .orderBy(F.desc("updated_at"), "execution_key")
-        .limit(limit)
-    )
+def recent_decisions(decisions: DataFrame, at: Column | str, limit: int | None = None) -> DataFrame:
+    """Last 24 hours, newest first; the first `limit` where a list of that length is asked for."""
+    recent = decisions.filter(fresh(F.col("updated_at"), at_lit(at), DECISION_SECONDS)).orderBy(F.desc("updated_at"), "execution_key")
+    return recent if limit is None else recent.limit(limit)
 
 
 def urgent_actions(steps: DataFrame, decisions: DataFrame, limit: int = 4) -> DataFrame:

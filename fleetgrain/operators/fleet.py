@@ -225,10 +225,18 @@ def top_terminals(plans: DataFrame, n: int = 5) -> DataFrame:
 
 
 def natural_key(c: Column) -> Column:
-    """Text key in which digit runs compare as numbers, ignoring case and accents."""
-    padded = F.regexp_replace(c.cast("string"), r"(\d+)", "000000000000$1")
-    fixed = F.regexp_replace(padded, r"\d*(\d{12})", "$1")
-    return canonical_text(fixed)
+    """Text key in which digit runs compare as numbers, ignoring case and accents.
+
+    The number of a run's digits without leading zeros goes before them, so runs of any
+    length keep their order.
+    """
+    runs = F.regexp_extract_all(c.cast("string"), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+
+    def one(run: Column) -> Column:
+        digits = F.ltrim(run, F.lit("0"))
+        return F.when(run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(run)
+
+    return F.when(c.isNotNull(), canonical_text(F.array_join(F.transform(runs, one), "")))
 
 
 def sort_fleet(df: DataFrame, key: str, direction: str = "asc") -> DataFrame:

@@ -51,6 +51,25 @@ def project_timetable(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+def _content_of(spark: SparkSession, path: str) -> DataFrame:
+    """(source, content) of an archive, or of a folder as one version.
+
+    A folder's content is, per member, the number of its lines and the sum of their
+    hashes: members may be files or folders of part files of any size, and neither the
+    folder's place nor the order of the parts changes it.
+    """
+    if path.endswith(".zip"):
+        return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), "content")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.regexp_extract("_metadata.file_path", r"([^/]+\.txt)(?:/[^/]*)?$", 1).alias("member"), F.sha2("value", 256).alias("h")
+    )
+    number = F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = lines.groupBy("member").agg(F.count("*").alias("n"), F.sum(number).alias("s")).select(F.concat_ws(":", "member", "n", "s").alias("part"))
+    # one row per member file of the format
+    whole = sums.agg(F.array_join(F.sort_array(F.collect_list("part")), " ").cast("binary").alias("content"))
+    return whole.withColumn("source", F.lit(path))
+
+
 def timetable_job(
     spark: SparkSession, path: str, feed_id: str, target: str, feeds: DataFrame, retrieved_at: str
 ) -> dict[str, int]:
@@ -59,11 +78,7 @@ def timetable_job(
     Returns row counts per table, empty for known content. Placement is done
     and stored before the first append, so its failure leaves nothing behind.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), "content")
-    if not path.endswith(".zip"):
-        # a folder counts as one version: hash the hashes of its members
-        parts = F.array_join(F.sort_array(F.collect_list(F.concat("source", F.sha2("content", 256)))), "")
-        files = files.agg(parts.cast("binary").alias("content")).withColumn("source", F.lit(path))
+    files = _content_of(spark, path)
     version = new_feed_versions(files, feeds).select("content_hash").first()
     if version is None:
         return {}

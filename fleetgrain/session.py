@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,21 +41,44 @@ def prepare(spark: SparkSession) -> SparkSession:
     zone, so the session zone is fixed to UTC. State goes to RocksDB so keyed
     streams are not bounded by executor heap.
     """
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per session.
+
+    The driver's path is not theirs: without it their Python tasks find the package only
+    where the working folder happens to hold it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_fleetgrain_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="fleetgrain-zip-")) / "fleetgrain_tasks.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._fleetgrain_sent = True
+
+
 def ensure_checkpoints(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names, also set for `checkpoint()`.
 
-    Only where none is named, as in local tests, a temporary folder is set.
+    Only a local session may go without: it gets a temporary folder. On a cluster the
+    executors would each write to a disk of their own, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return base or current.get()
-    base = base or tempfile.mkdtemp(prefix="fleetgrain-")
+    if base is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="fleetgrain-")
     spark.sparkContext.setCheckpointDir(base)
     return base
 

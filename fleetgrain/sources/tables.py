@@ -12,18 +12,18 @@ from fleetgrain.functions.times import at_lit
 from fleetgrain.session import materialize
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str], newer: Column | None = None) -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], newer: Column | None = None, ties: bool = False) -> DataFrame:
     """Rows of `target` with `updates` applied: insert, or replace on equal keys.
 
     With `newer`, an update replaces only a row whose `newer` value is
-    strictly smaller. One aggregate decides per key, so both sides are
+    strictly smaller, or equal with `ties`. One aggregate decides per key, so both sides are
     combined before the shuffle and no key is ever sorted.
     """
     columns = target.columns
     order = newer if newer is not None else F.lit(0)
     value = F.struct(*[F.col(c) for c in columns])
     # on a tie the update wins without a guard and loses with one
-    priority = 0 if newer is not None else 1
+    priority = 0 if newer is not None and not ties else 1
     old = target.select(*keys, value.alias("row"), F.struct(order.alias("o"), F.lit(1 - priority).alias("p")).alias("rank"))
     new = updates.select(*columns).select(
         *keys, value.alias("row"), F.struct(order.alias("o"), F.lit(priority).alias("p")).alias("rank")
@@ -34,7 +34,7 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], newer: Column
 
 def overwrite_upsert(
     spark: SparkSession, path: str, updates: DataFrame, keys: list[str], newer: Column | None = None,
-    partition: str | None = None,
+    partition: str | None = None, ties: bool = False,
 ) -> None:
     """Upsert into a Parquet table as a new version folder, then point to it.
 
@@ -45,14 +45,14 @@ def overwrite_upsert(
     if partition:
         touched = updates.select(partition).distinct()
         current = _read_or_empty(spark, path, updates)
-        affected = current.join(F.broadcast(touched), partition, "left_semi")
-        merged = materialize(upsert(affected, updates, keys, newer))
+        affected = current.join(touched, partition, "left_semi")
+        merged = materialize(upsert(affected, updates, keys, newer, ties))
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             partition
         ).parquet(path)
         return
     current = read_current(spark, path)
-    merged = updates if current is None else upsert(current, updates, keys, newer)
+    merged = updates if current is None else upsert(current, updates, keys, newer, ties)
     version = _next_version(spark, path)
     merged.write.mode("overwrite").parquet(f"{path}/v{version:012d}")
 
