@@ -13,7 +13,7 @@ Pairs are verified exactly: the overlap is counted fragment by fragment and summ
 the pair, until it is reached or can no longer be.
 
 No group is paired with itself. Each round takes pivots of a group (the least member,
-later the least of each of SLOTS parts), compares the others with them and joins what
+later the least of each of many parts), compares the others with them and joins what
 links into components; pivots then leave the group. Members of one component need no
 comparison, and a group whose rest is one component is done. So a group of n near copies
 costs about n pairs, while every pair that could join two components is compared.
@@ -45,8 +45,11 @@ WORDS = 4
 LEAST_PCT = 85
 #: Size classes grow by this ratio.
 RATIO = 1.5
-#: Pivots of a group in the rounds after the first.
-SLOTS = 16
+#: Pivots of a group in the rounds after the first: at least and at most. Between them,
+#: as many as keep the pairs of a round below the members that there were at first.
+SLOTS = (16, 4096)
+#: Bytes of text whose words are hashed at once.
+SLICE_BYTES = 2 << 20
 #: Fragments in which the overlap of a pair is counted.
 VERIFY_FRAGMENTS = 8
 
@@ -74,7 +77,19 @@ def lower_ascii(texts: pa.Array) -> pa.Array:
 
 
 def shingle_sets(texts: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text."""
+    """The sorted distinct n-gram hashes of each text, a slice of the texts at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin, size = 0, 0
+    for k, length in enumerate(sizes.tolist()):
+        size += length
+        if size >= SLICE_BYTES:
+            yield from _slice_sets(texts.slice(begin, k + 1 - begin), n)
+            begin, size = k + 1, 0
+    if begin < len(texts):
+        yield from _slice_sets(texts.slice(begin), n)
+
+
+def _slice_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     lists = pc.ascii_split_whitespace(lower_ascii(texts))
     # splitting keeps an empty word at a blank end
     coded = lists.values.dictionary_encode()
@@ -225,12 +240,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def _candidates(members: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+def _candidates(members: DataFrame, number: int, slots: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of members with the pivots of their group, and the pivots' own rows.
 
     `members` has sig, doc_id and, after the first round, component.
     """
-    slot = F.lit(0) if number == 0 else F.pmod(F.xxhash64("doc_id", F.lit(number)), F.lit(SLOTS))
+    slot = F.lit(0) if number == 0 else F.pmod(F.xxhash64("doc_id", F.lit(number)), F.lit(slots))
     picked = members.groupBy("sig", slot.alias("slot")).agg(F.min("doc_id").alias("pivot"))
     if number:
         ours = members.select("sig", F.col("doc_id").alias("pivot"), F.col("component").alias("theirs"))
@@ -299,8 +314,9 @@ def _link(slim: DataFrame, held: DataFrame) -> DataFrame:
     candidates = held.select("doc_id")
     labels = stored(candidates.select("doc_id", F.col("doc_id").alias("component")), "ngram-labels")
     number, tested, links = 0, None, None
-    while not members.isEmpty():
-        pairs, pivots = _candidates(members, number)
+    first = members.count()
+    while rows := members.count():
+        pairs, pivots = _candidates(members, number, min(max(first // rows, SLOTS[0]), SLOTS[1]))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "ngram-pairs")
