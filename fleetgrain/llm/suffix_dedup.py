@@ -45,9 +45,9 @@ LENGTH = 100
 GRAM = 32
 #: Different stretches of one route in a block, and bytes that a block gathers.
 BLOCK_STRETCHES = 20_000
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes of text that are hashed at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
