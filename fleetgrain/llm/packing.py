@@ -23,6 +23,7 @@ empty table gives no pieces; only the id and text columns are read.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -51,32 +52,82 @@ _SPACES = (" ", "\n", "\t", "\r", "\x0b", "\x0c")
 
 
 class WordIds:
-    """Ids of words, remembered up to a bound; one per worker and vocabulary."""
+    """Ids of words, remembered up to a bound; one per worker and vocabulary.
+
+    New words are tokenized many at a time; the bytes of ids and words tell which belong
+    together, and where they do not agree the words are tokenized one by one. When the
+    bound is reached, words met in one slice only are forgotten.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
+        # bytes of each id: byte-level tokens have a letter for each, and the last of a word a suffix
+        self.widths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.widths[number] = len(token.removesuffix("</w>"))
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.bounds: list[int] = [0]
+        self.bounds = np.zeros(1 << 14, dtype=np.int64)
+        self.hits = np.zeros(1 << 14, dtype=np.int32)
+
+    def _trim(self) -> None:
+        if len(self.index) <= REMEMBERED:
+            return
+        used, least = self.hits[: len(self.index)], 2
+        while (used >= least).sum() > REMEMBERED // 2:
+            least *= 2
+        keep = used >= least
+        names = [w for w, p in self.index.items() if keep[p]]
+        places = np.array([self.index[w] for w in names], dtype=np.int64)
+        flat, ends = self._take(places)
+        self.index = {w: k for k, w in enumerate(names)}
+        self.flat, self.bounds = flat, ends
+        self.hits = used[places] // 2 + 1
+
+    def _take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at `places` in a row, and where each begins and the last ends."""
+        begin = self.bounds[places]
+        count = self.bounds[places + 1] - begin
+        ends = np.concatenate(([0], np.cumsum(count)))
+        return self.flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], count)], ends
+
+    def _segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and how many each has."""
+        groups = [words[k : k + 500] for k in range(0, len(words), 500)]
+        flats, counts = [], []
+        for group, whole in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(whole.ids, dtype=np.uint32)
+            reached, wanted = np.cumsum(self.widths[ids]), np.cumsum([_width(w) for w in group])
+            last = np.searchsorted(reached, wanted)
+            if len(reached) and reached[-1] == wanted[-1] and (reached[last] == wanted).all():
+                flats.append(ids)
+                counts.append(np.diff(last, prepend=-1))
+            else:  # a word that the widths do not explain, such as a special token
+                single = [e.ids for e in self.tokenizer.encode_batch(group, add_special_tokens=False)]
+                flats.append(np.array([x for i in single for x in i], dtype=np.uint32))
+                counts.append(np.array([len(i) for i in single], dtype=np.int64))
+        return np.concatenate(flats), np.concatenate(counts)
 
     def _learn(self, words: list[str]) -> np.ndarray:
+        """Place of each of the distinct words."""
         index = self.index
         new = [w for w in words if w not in index]
-        for word, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False) if new else [], strict=True):
-            ids = coded.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            index[word] = len(self.bounds) - 1
-            self.bounds.append(self.used)
-        return np.fromiter((index[w] for w in words), dtype=np.int64, count=len(words))
+        if new:
+            flat, counts = self._segment(new)
+            known = len(index)
+            end = self.bounds[known] if known else 0
+            self.flat = _grown(self.flat, end + len(flat))
+            self.flat[end : end + len(flat)] = flat
+            self.bounds = _grown(self.bounds, known + len(new) + 1)
+            self.bounds[known + 1 : known + 1 + len(new)] = end + np.cumsum(counts)
+            self.hits = _grown(self.hits, known + len(new))
+            self.hits[known : known + len(new)] = 0
+            index.update(zip(new, range(known, known + len(new)), strict=True))
+        place = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+        self.hits[place] += 1
+        return place
 
     def of_rows(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """Row and ids of each text, a slice of the texts at a time."""
@@ -112,17 +163,24 @@ class WordIds:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text begins and the last ends."""
-        if len(self.index) > REMEMBERED:
-            self.forget()
+        self._trim()
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = lists.values.dictionary_encode()
         place = self._learn(coded.dictionary.to_pylist())
-        words = place[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else place
-        bounds = np.array(self.bounds, dtype=np.int64)
-        begin, count = bounds[words], bounds[words + 1] - bounds[words] if len(words) else np.zeros(0, np.int64)
-        ends = np.concatenate(([0], np.cumsum(count)))
-        take = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], count)
-        return self.flat[take], ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        flat, ends = self._take(place[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else place)
+        return flat, ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+
+def _width(word: str) -> int:
+    """Bytes of a word's normal form."""
+    return len(word) if word.isascii() else len(unicodedata.normalize("NFC", word).lower().encode())
+
+
+def _grown(values: np.ndarray, size: int) -> np.ndarray:
+    """`values`, longer if need be; what is added is zero."""
+    if size <= len(values):
+        return values
+    return np.concatenate((values, np.zeros(max(size, 2 * len(values)) - len(values), dtype=values.dtype)))
 
 
 def _cut_text(text: str) -> Iterator[str]:
