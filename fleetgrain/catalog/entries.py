@@ -42,8 +42,16 @@ class Entry:
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        select = ", ".join(_duck_value(name, kind) for name, kind in self.columns())
         body = self.sql.strip()
+        recursive = body.upper().startswith("WITH RECURSIVE ")
+        if recursive:
+            body = "WITH " + body[len("WITH RECURSIVE ") :]
+        with_ = self._with(body)
+        return with_.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else with_
+
+    def _with(self, body: str) -> str:
+        """`body` after the views it reads, with the typed output."""
+        select = ", ".join(_duck_value(name, kind) for name, kind in self.columns())
         prefix = duck_with(list(self.views)) if self.views else ""
         if body.upper().startswith("WITH "):
             inner = body[5:]

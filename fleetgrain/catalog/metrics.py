@@ -41,13 +41,13 @@ R.add(
     lambda v: metrics.window_statistics(v.assessed.withColumn("day", service_date(c("completed_at"))), ["metric_key", "day"]),
     f"WITH src AS (SELECT *, CAST({LOCAL} AS DATE) AS day FROM assessed) {stats_sql('src', 'metric_key, day')}", "assessed",
 )
+LIVE = f"""src AS (SELECT *, time_bucket(INTERVAL 5 MINUTE, completed_at) AS window_start FROM assessed),
+newest AS (SELECT * FROM src QUALIFY window_start = max(window_start) OVER (PARTITION BY metric_key)),
+st AS ({stats_sql('newest', 'metric_key, window_start, origin_stop_id, destination_stop_id')})"""
 R.add(
     "A02_live_metrics", f"metric_key:s, window_start:t, window_end:t, origin_stop_id:s, destination_stop_id:s, {STATS}",
     lambda v: metrics.live_metrics(v.assessed),
-    f"""WITH src AS (SELECT *, time_bucket(INTERVAL 5 MINUTE, completed_at) AS window_start FROM assessed),
-newest AS (SELECT * FROM src QUALIFY window_start = max(window_start) OVER (PARTITION BY metric_key)),
-st AS ({stats_sql('newest', 'metric_key, window_start, origin_stop_id, destination_stop_id')})
-SELECT *, window_start + INTERVAL 5 MINUTE AS window_end FROM st""",
+    f"WITH {LIVE} SELECT *, window_start + INTERVAL 5 MINUTE AS window_end FROM st",
     "assessed",
 )
 DAILY = f"""daily AS ({stats_sql(f"(SELECT *, CAST({LOCAL} AS DATE) AS service_date, hour({LOCAL}) * 12 + minute({LOCAL}) // 5 AS slot_index, CASE isodow({LOCAL}) WHEN 6 THEN 'saturday' WHEN 7 THEN 'sunday' ELSE 'weekday' END AS day_type FROM assessed) d", "metric_key, service_date, slot_index, day_type")})"""

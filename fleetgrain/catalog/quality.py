@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetgrain.catalog.entries import Registry
+from fleetgrain.catalog.metrics import LIVE
+from fleetgrain.catalog.shapes import SEG_SQL
 from fleetgrain.operators import metrics, quality
 from fleetgrain.operators.shapes import shape_segments
 
@@ -179,9 +181,13 @@ R.add(
 )
 R.add(
     "Q24_check_segments", "check_name:s, violations:i", lambda v: quality.check_expectations(shape_segments(v.shape_points), {**quality.SEGMENT_CHECKS, "fractions": "start_fraction >= 0 AND end_fraction > start_fraction"}),
+    f"WITH {SEG_SQL} SELECT 'sequence' AS check_name, count(*) FILTER (NOT (segment_sequence >= 0)) AS violations FROM seg UNION ALL SELECT 'length', count(*) FILTER (NOT (len > 0)) FROM seg "
+    "UNION ALL SELECT 'distances', count(*) FILTER (NOT (start_m >= 0 AND end_m > start_m)) FROM seg UNION ALL SELECT 'fractions', count(*) FILTER (NOT (f0 >= 0 AND f1 > f0)) FROM seg", "shape_points",
 )
 R.add(
     "Q24_check_live_metrics", "check_name:s, violations:i",
     lambda v: quality.check_expectations(
         metrics.live_metrics(v.assessed.withColumn("scope", F.lit("physical")).withColumn("route_id", F.lit(None).cast("string")).withColumn("direction_id", F.lit(None).cast("int"))), quality.METRIC_CHECKS),
+    f"WITH {LIVE}, live AS (SELECT *, window_start + INTERVAL 5 MINUTE AS window_end, 'physical' AS scope, CAST(NULL AS VARCHAR) AS route_id, CAST(NULL AS INTEGER) AS direction_id FROM st) "
+    + " UNION ALL ".join(f"SELECT '{n}' AS check_name, count(*) FILTER (NOT ({rule})) AS violations FROM live" for n, rule in quality.METRIC_CHECKS.items()), "assessed",
 )

@@ -134,6 +134,16 @@ SELECT cut.shape_id, s1 - s0 + 2 AS points, first_lat, last_lat, last - s2 + 2 A
 R.add(
     "G13_simplify_line", "shape_id:s, before:i, after:i",
     lambda v: shapes.assemble_lines(v.shape_points).select("shape_id", F.size("points").alias("before"), F.size(geo.simplify_line(c("points"), 0.0002)).alias("after")),
+    """WITH RECURSIVE pts AS (SELECT shape_id, sequence, longitude AS x, latitude AS y FROM shape_points),
+ends AS (SELECT shape_id, min(sequence) AS lo, max(sequence) AS hi, count(*) AS before FROM pts GROUP BY 1 HAVING count(*) >= 2),
+parts AS (SELECT shape_id, lo, hi FROM ends UNION ALL
+ SELECT shape_id, CASE WHEN half = 0 THEN lo ELSE mid END, CASE WHEN half = 0 THEN mid ELSE hi END FROM (
+  SELECT shape_id, lo, hi, arg_max(sequence, (gap, -sequence)) AS mid, max(gap) AS worst FROM (
+   SELECT q.shape_id, lo, hi, p.sequence, sqrt(pow(p.x - a.x - t.t * (b.x - a.x), 2) + pow(p.y - a.y - t.t * (b.y - a.y), 2)) AS gap
+   FROM parts q JOIN pts a ON a.shape_id = q.shape_id AND a.sequence = lo JOIN pts b ON b.shape_id = q.shape_id AND b.sequence = hi JOIN pts p ON p.shape_id = q.shape_id AND p.sequence > lo AND p.sequence < hi,
+   LATERAL (SELECT CASE WHEN pow(b.x - a.x, 2) + pow(b.y - a.y, 2) > 0 THEN greatest(0.0, least(1.0, ((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y)) / (pow(b.x - a.x, 2) + pow(b.y - a.y, 2)))) ELSE 0.0 END AS t) t) g GROUP BY 1, 2, 3) m, (VALUES (0), (1)) AS h(half) WHERE worst > 0.0002)
+SELECT ends.shape_id, any_value(before) AS before, 2 + (count(*) - 1) // 2 AS after FROM ends JOIN parts USING (shape_id) GROUP BY 1""",
+    "shape_points",
 )
 R.add(
     "W13_progress_clusters", "ping_id:i, segment_sequence:i, cluster:i",

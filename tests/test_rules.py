@@ -63,9 +63,8 @@ def test_correlation_keeps_rows_without_a_time_and_calls_the_sink_once(spark, tm
     calls = []
     query = jobs.correlate_stream(
         spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda day: active,
-        lambda df, batch: calls.append((batch, {r.vehicle_prefix: r.correlation_reason for r in df.collect()})), str(tmp_path / "ck"))
-    query.processAllAvailable()
-    query.stop()
+        lambda df, batch: calls.append((batch, {r.vehicle_prefix: r.correlation_reason for r in df.collect()})), str(tmp_path / "ck"), available_now=True)
+    query.awaitTermination()
     assert [c[0] for c in calls] == [0] and set(calls[0][1]) == {"A", "B", "C"}
     assert calls[0][1]["C"] == "no_exact_match"
 
