@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import sys
-import zipfile
 from collections.abc import Callable
-from io import BytesIO
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgrain.session import shared_dir
+from fleetgrain.session import shared_dir, ship_package
+
+__all__ = ["BROADCAST_BYTES", "let", "ship_package", "small_side", "stored", "table", "vocabulary", "without", "words_of"]
 
 #: Side of a join that may be sent to all executors, in bytes; larger ones are shuffled.
 BROADCAST_BYTES = 16 << 20
@@ -63,28 +61,3 @@ def words_of(text: Column) -> Column:
     """Maximal runs of characters other than blank and U+0009 to U+000D; null gives none."""
     blanks = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
     return F.array_remove(F.split(blanks, " "), "")
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once per session.
-
-    The driver's path is not theirs: without it Python tasks can import the
-    package only where the working folder happens to hold it.
-    """
-    context = spark.sparkContext
-    if getattr(context, "_fleetgrain_llm_sent", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    buffer = BytesIO()
-    with zipfile.ZipFile(buffer, "w") as archive:
-        for file in sorted(root.rglob("*.py")):
-            archive.write(file, file.relative_to(root.parent))
-    import os
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="fleetgrain-zip-")
-    target = os.path.join(folder, "fleetgrain_llm_tasks.zip")
-    Path(target).write_bytes(buffer.getvalue())
-    context.addPyFile(target)
-    context._fleetgrain_llm_sent = True
-    sys.path_importer_cache.pop(target, None)
