@@ -18,7 +18,7 @@ HEADLINE = (
     "A06_planned_slot_means", "W12_completed_segments", "G06_shape_segments", "G09_nearby_segments",
     "M01_match_three_samples", "E04_catalog_resolve", "E05_eta_current_time", "E06_eta_future_time",
     "E13_segment_speed_map", "X04_assign_per_terminal", "J21_fleet_rows", "Q01_missing_by_column",
-    "Q21_numeric_summary",
+    "Q21_numeric_summary", "T06_materialize_windows", "T07_correlate_stream", "K02_travel_time_replay", "K03_snapshot_job",
 )
 
 

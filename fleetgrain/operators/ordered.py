@@ -121,8 +121,9 @@ def group_quantiles(
 ) -> DataFrame:
     """Exact quantiles per group without gathering a group in one place.
 
-    Equal values are counted first. A per-group histogram over the value range
-    finds the buckets with the wanted ranks; only those are ordered. `wanted`
+    Equal values are counted first. A per-group histogram over the value range, on a
+    logarithmic scale so that an outlier leaves the others apart, finds the buckets
+    with the wanted ranks; only those are ordered. `wanted`
     maps a name to a pair of ranks (SQL over `n`) whose values are averaged.
     """
     counted = (
@@ -133,8 +134,8 @@ def group_quantiles(
     span = counted.groupBy(*keys).agg(
         F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_k").alias("n")
     )
-    width = F.col("_hi") - F.col("_lo")
-    share = F.floor((F.col("_x") - F.col("_lo")) / width * buckets)
+    low, width = _spread(F.col("_lo")), _spread(F.col("_hi")) - _spread(F.col("_lo"))
+    share = F.floor((_spread(F.col("_x")) - low) / width * buckets)
     bucket = F.when(width > 0, F.least(F.lit(buckets - 1), share)).otherwise(F.lit(0))
     placed = _null_safe(counted, span, keys).withColumn("_b", bucket)
     per_bucket = placed.groupBy(*keys, "_b").agg(F.sum("_k").alias("_kb"), F.max("n").alias("n"))
@@ -160,6 +161,12 @@ def group_quantiles(
     )
 
 
+def _spread(x: Column) -> Column:
+    """Signed logarithm of one plus the size; it never falls where x rises."""
+    number = x.cast("double")
+    return F.signum(number) * F.log1p(F.abs(number))
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join keeping null keys as their own group; no keys means one-row `right`."""
     if not keys:
