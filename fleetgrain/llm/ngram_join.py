@@ -47,7 +47,7 @@ LEAST_PCT = 85
 RATIO = 1.5
 #: Pivots of a group in the rounds after the first: at least and at most. Between them,
 #: as many as keep the pairs of a round below the members that there were at first.
-SLOTS = (16, 4096)
+SLOTS = (64, 4096)
 #: Bytes of text whose words are hashed at once.
 SLICE_BYTES = 2 << 20
 #: Fragments in which the overlap of a pair is counted.
@@ -243,17 +243,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def _candidates(members: DataFrame, number: int, slots: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of members with the pivots of their group, and the pivots' own rows.
 
-    `members` has sig, doc_id and, after the first round, component.
+    `members` has sig, doc_id, n_shingles and component. Pairs of one component, or of
+    sizes that cannot link, are left out.
     """
     slot = F.lit(0) if number == 0 else F.pmod(F.xxhash64("doc_id", F.lit(number)), F.lit(slots))
-    picked = members.groupBy("sig", slot.alias("slot")).agg(F.min("doc_id").alias("pivot"))
-    if number:
-        ours = members.select("sig", F.col("doc_id").alias("pivot"), F.col("component").alias("theirs"))
-        picked = picked.join(ours, ["sig", "pivot"])
-    picked = stored(picked.drop("slot"), "ngram-pivots")
-    joined = members.join(picked, "sig").where("doc_id <> pivot")
-    if number:
-        joined = joined.where("component <> theirs")
+    least = F.min(F.struct("doc_id", "n_shingles", "component")).alias("p")
+    picked = members.groupBy("sig", slot.alias("slot")).agg(least).select(
+        "sig", F.col("p.doc_id").alias("pivot"), F.col("p.n_shingles").alias("size"), F.col("p.component").alias("theirs")
+    )
+    picked = stored(picked, "ngram-pivots")
+    fits = 100 * F.least("n_shingles", "size") >= LEAST_PCT * F.greatest("n_shingles", "size")
+    joined = members.join(picked, "sig").where((F.col("component") != F.col("theirs")) & fits)
     return joined.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), picked.select("sig", "pivot")
 
 
@@ -302,15 +302,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def _open_groups(members: DataFrame, value: str) -> DataFrame:
-    """Members of the groups in which `value` is not the same for all."""
-    several = members.groupBy("sig").agg(F.min(value).alias("x"), F.max(value).alias("y")).where("x <> y").select("sig")
+def _open_groups(members: DataFrame) -> DataFrame:
+    """Members of the groups that hold several components."""
+    several = members.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
     return stored(members.join(stored(several, "ngram-open"), "sig"), "ngram-members")
 
 
 def _link(slim: DataFrame, held: DataFrame) -> DataFrame:
     """Labels of the held sets after rounds of comparison with pivots."""
-    members = _open_groups(stored(held.select("doc_id", F.explode("sigs").alias("sig")), "ngram-all-members"), "doc_id")
+    whole = held.select("doc_id", "n_shingles", F.col("doc_id").alias("component"), F.explode("sigs").alias("sig"))
+    members = _open_groups(stored(whole, "ngram-all-members"))
     candidates = held.select("doc_id")
     labels = stored(candidates.select("doc_id", F.col("doc_id").alias("component")), "ngram-labels")
     number, tested, links = 0, None, None
@@ -330,7 +331,7 @@ def _link(slim: DataFrame, held: DataFrame) -> DataFrame:
                 links = found if links is None else links.unionByName(found)
                 labels = components(candidates, links)
         # pivots have met all of their group; a rest in one component needs no more
-        rest = members.select("sig", "doc_id").join(pivots.select("sig", F.col("pivot").alias("doc_id")), ["sig", "doc_id"], "left_anti")
-        members = _open_groups(stored(rest.join(labels, "doc_id").select("sig", "doc_id", "component"), "ngram-rest"), "component")
+        rest = members.select("sig", "doc_id", "n_shingles").join(pivots.select("sig", F.col("pivot").alias("doc_id")), ["sig", "doc_id"], "left_anti")
+        members = _open_groups(stored(rest.join(labels, "doc_id").select("sig", "doc_id", "n_shingles", "component"), "ngram-rest"))
         number += 1
     return labels
