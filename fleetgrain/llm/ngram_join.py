@@ -1,10 +1,11 @@
 """Jaccard join of word shingle sets by vertical partitioning of the n-gram order.
 
 The global order of the n-grams is that of their hashes, and it is cut into fragments.
-Two sets that link differ in at most 3/17 of the smaller one (0.15 / 0.85), so with one
-fragment more than that, at least one fragment is equal in both. Fragments become
+Two sets that link differ in at most 3/17 of the smaller one (0.15 / 0.85), so with a
+third more fragments than that, about a quarter are equal in both. Fragments become
 signatures of the n-grams in them; only signatures that two different sets share leave
-the counting pass, and pairs come from those alone. How many fragments there are depends
+the counting pass. A set with fewer of them than a link needs is out, and pairs come from
+the rarest ones alone, so many that two sets which share enough share one of those. How many fragments there are depends
 on a size class; a set takes part in its own class and in those of possible smaller
 partners. The few sets that leave most fragments empty, so that the equal fragment could
 be an empty one, also give their prefix in the global order, which links must share.
@@ -45,6 +46,8 @@ WORDS = 4
 LEAST_PCT = 85
 #: Size classes grow by this ratio.
 RATIO = 1.5
+#: One fragment more for so many that may differ. Links then share several signatures.
+SPARE = 3
 #: Pivots of a group in the rounds after the first: at least and at most. Between them,
 #: as many as keep the pairs of a round below the members that there were at first.
 SLOTS = (64, 4096)
@@ -116,7 +119,8 @@ def size_class(n: int) -> tuple[int, int]:
     k, high = 0, 2
     while n >= high:
         k, high = k + 1, max(high + 1, int(high * RATIO))
-    return k, _most_different(high - 1) + 1
+    different = _most_different(high - 1)
+    return k, different + 1 + different // SPARE
 
 
 def _most_different(smaller: int) -> int:
@@ -287,12 +291,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         .select("doc_id", "sigs")
     )
     sigs = single.select("doc_id", F.explode("sigs").alias("sig"))
-    shared = stored(sigs.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "ngram-shared")
-    met = sigs.join(shared, "sig").select("sig", "doc_id").distinct()
+    shared = stored(sigs.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "ngram-shared")
+    met = sigs.join(shared, "sig").groupBy("sig", "doc_id").agg(F.max("n").alias("n"))
     sizes = sets.select("doc_id", "n_shingles", "filled", "needed").dropDuplicates(["doc_id"])
-    grouped = stored(met.groupBy("doc_id").agg(F.collect_list("sig").alias("sigs")), "ngram-met")
-    # a set that shares too few signatures with all others together links with none
-    held = stored(grouped.join(sizes, "doc_id").where(F.size("sigs") >= F.col("needed")).drop("needed"), "ngram-held")
+    grouped = stored(met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "sig"))).alias("ranked")), "ngram-met")
+    # a set that shares too few signatures with all others together links with none; of
+    # two sets that share t, both hold one of these among all but the t - 1 most frequent
+    rarest = F.slice("ranked.sig", F.lit(1), F.size("ranked") - F.col("needed") + 1)
+    enough = grouped.join(sizes, "doc_id").where(F.size("ranked") >= F.col("needed"))
+    held = stored(enough.select("doc_id", "n_shingles", "filled", F.col("ranked.sig").alias("sigs"), rarest.alias("rarest")), "ngram-held")
     labels = _link(slim, held)
 
     named = nodes.select("node", "first")
@@ -310,7 +317,7 @@ def _open_groups(members: DataFrame) -> DataFrame:
 
 def _link(slim: DataFrame, held: DataFrame) -> DataFrame:
     """Labels of the held sets after rounds of comparison with pivots."""
-    whole = held.select("doc_id", "n_shingles", F.col("doc_id").alias("component"), F.explode("sigs").alias("sig"))
+    whole = held.select("doc_id", "n_shingles", F.col("doc_id").alias("component"), F.explode("rarest").alias("sig"))
     members = _open_groups(stored(whole, "ngram-all-members"))
     candidates = held.select("doc_id")
     labels = stored(candidates.select("doc_id", F.col("doc_id").alias("component")), "ngram-labels")
