@@ -1,11 +1,14 @@
 """License scan by a positional index of rare words.
 
 Templates are short public notices. Each of their words that is no function word has
-postings (template, place). A file looks up its licence words with the highest inverse
-document frequency, measured over all files; the difference between a word's place in the
-file and in the template is where the template would begin, so postings that agree on it
-vote for one alignment. An alignment counts if enough of the template's rare words vote
-for it and the template's mandatory phrase stands in the file.
+postings (template, place). Each template is looked up by its own words with the highest
+inverse document frequency, measured over all files: so many that a file without any of
+them cannot hold as many of the template's words as a label needs. For the (file,
+template) pairs found so, all postings of the template count: the difference between a
+word's place in the file and in the template is where the template would begin, so
+postings that agree on it vote for one alignment. An alignment counts if enough of the
+template's rare words vote for it and the template's mandatory phrase stands in the file.
+Templates do not compete, so a file gets the labels of all notices it holds.
 
 Only files with licence words leave the first pass, and only (file, word, place) rows of
 those words are shuffled. The vocabulary and the postings are fixed tables of a few
@@ -81,9 +84,9 @@ TEMPLATES = (
 PLAIN = frozenset(
     "a and any are as at by can either in is it may met not of on or person that the this to under use with without you your 0 2 3 4".split()
 )
-#: Licence words of a file that are looked up, those with the highest IDF.
-LOOKED_UP = 12
-#: Share of the looked-up words that a template holds which must agree on one alignment.
+#: Agreeing words that are full evidence of a template; shorter ones need all their rare words for it.
+FULL_EVIDENCE = 12
+#: Share of the full evidence that must agree on one alignment.
 LEAST_SHARE = 0.6
 
 
@@ -141,35 +144,44 @@ def index_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return stored(words.select("doc_id", "n_words", *[c.alias(k) for k, c in places.items()], hits.alias("hits"), held.alias("held")), "license-files")
 
 
+def seeds(df: dict[str, int]) -> list[tuple[str, str, list[str]]]:
+    """(template, mandatory phrase, seed words): of the words that an alignment needs, one is a seed at least.
+
+    Of n rare words a label needs k, so any n - k + 1 of them do; `df`, the number of
+    files by word, makes them the rarest.
+    """
+    out = []
+    for t in TEMPLATES:
+        rare = sorted({w for w in t.text.split() if w not in PLAIN}, key=lambda w: (df.get(w, 0), w))
+        full = min(len(rare), FULL_EVIDENCE)
+        least = next(v for v in range(1, full + 1) if v / full >= LEAST_SHARE)
+        out.append((t.name, t.mandatory, rare[: len(rare) - least + 1]))
+    return out
+
+
 def align(files: DataFrame) -> DataFrame:
     """Templates that stand in each file: doc_id, label, score."""
     spark = files.sparkSession
-    hits = files.select("doc_id", "held", F.explode("hits").alias("h")).select("doc_id", "held", "h.word", "h.pos")
-    total = files.agg(F.count("*").alias("total"))
-    df = hits.groupBy("doc_id", "word").agg(F.lit(1).alias("one")).groupBy("word").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(total)).select("word", F.log((F.col("total") + 1) / F.col("df")).alias("idf"))
-    # per file the distinct words, at most the vocabulary, rarest first
-    top = (
-        hits.join(F.broadcast(idf), "word")
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set(F.struct("idf", "word")), asc=False).alias("ranked"))
-        .select("doc_id", F.explode(F.slice("ranked", 1, LOOKED_UP)).alias("r"))
-        .select("doc_id", "r.word", "r.idf")
-    )
-    posts = spark.createDataFrame(
-        [(*p, next(t.mandatory for t in TEMPLATES if t.name == p[2])) for p in postings()],
-        "word string, place long, template string, label string, n_rare long, mandatory string",
+    some = files.where((F.size("hits") > 0) & (F.size("held") > 0))
+    distinct = files.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word"))
+    # at most one row per word of the vocabulary
+    df = {r.word: r.n for r in distinct.groupBy("word").agg(F.count("*").alias("n")).collect()}
+    found_by = spark.createDataFrame(seeds(df), "template string, mandatory string, seeds array<string>")
+    pairs = some.join(
+        F.broadcast(found_by),
+        F.array_contains("held", F.col("mandatory")) & F.arrays_overlap(F.transform("hits", lambda h: h["word"]), F.col("seeds")),
     )
+    posts = spark.createDataFrame(postings(), "word string, place long, template string, label string, n_rare long")
     votes = (
-        hits.join(top, ["doc_id", "word"])
-        .join(F.broadcast(posts), "word")
-        .where(F.array_contains("held", F.col("mandatory")))
+        pairs.select("doc_id", "template", F.explode("hits").alias("h"))
+        .select("doc_id", "template", "h.word", "h.pos")
+        .join(F.broadcast(posts), ["template", "word"])
         .groupBy("doc_id", "template", "label", "n_rare", (F.col("pos") - F.col("place")).alias("begin"))
         .agg(F.count_distinct("word").alias("votes"))
     )
-    need = F.least(F.col("n_rare"), F.lit(LOOKED_UP))
+    full = F.least(F.col("n_rare"), F.lit(FULL_EVIDENCE))
     return (
-        votes.select("doc_id", "label", F.least(F.col("votes") / need, F.lit(1.0)).alias("share"))
+        votes.select("doc_id", "label", F.least(F.col("votes") / full, F.lit(1.0)).alias("share"))
         .groupBy("doc_id", "label")
         .agg(F.max("share").alias("score"))
         .where(F.col("score") >= LEAST_SHARE)

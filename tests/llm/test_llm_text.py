@@ -222,6 +222,34 @@ def test_licenses(spark, texts):
     assert got[5].labels == "" and got[0].score == 1.0
 
 
+def test_licenses_with_several_notices(spark):
+    notice = {t.name: t.text for t in license_scan.TEMPLATES}
+    mit, rarer = notice["mit_grant"], "redistribution source binary forms modification permitted provided conditions creative commons attribution international work"
+    all_texts = [
+        " filler ".join(notice[k] for k in ("mit_grant", "bsd_conditions", "apache_file")),
+        f"{notice['bsd_conditions']} and {mit}",
+        f"{mit} filler {rarer}",
+        " x ".join(notice.values()),
+        *[f"{mit} copy {i}" for i in range(20)],
+        *[" x ".join(" ".join(t.split()[cut:] if cut > 0 else t.split()[:cut]) for t in notice.values()) for cut in (-14, -7, 3, 8)],
+    ]
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, all_texts)).collect()}
+    assert [got[i].labels for i in range(4)] == ["apache,bsd,mit", "bsd,mit", "mit", "apache,bsd,cc-by,gpl,mit"]
+    assert all(got[i].score == 1.0 for i in range(24))
+    for i, text in enumerate(all_texts):  # every alignment of every template
+        words, labels = text.split(), set(got[i].base_labels.split(",")) - {""}
+        for t in license_scan.TEMPLATES:
+            rare = [(w, k) for k, w in enumerate(t.text.split()) if w not in license_scan.PLAIN]
+            voters = defaultdict(set)
+            for k, w in enumerate(words):
+                for _, place in [p for p in rare if p[0] == w]:
+                    voters[k - place].add(w)
+            full = min(len({w for w, _ in rare}), license_scan.FULL_EVIDENCE)
+            if f" {t.mandatory} " in f" {text} " and max(map(len, voters.values()), default=0) / full >= license_scan.LEAST_SHARE:
+                labels.add(t.label)
+        assert got[i].labels == ",".join(sorted(labels))
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert quality_rules.judge(empty).count() == 0
