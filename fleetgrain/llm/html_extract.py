@@ -1,6 +1,7 @@
 """Main text of web pages by a site style tree.
 
-First pass: the DOMs of all pages of a host are merged. A node of the merged tree is a
+First pass: the DOMs of all different pages of a host are merged; copies of a page, by a
+digest of its html, are one page of the tree, and its verdicts hold for all of them. A node of the merged tree is a
 path of block elements with their classes; it holds the presentation styles (sequences
 of child elements) and the contents (texts) that pages show there, with their numbers
 of pages. From their entropies follows a node's importance: a content that most pages
@@ -12,8 +13,8 @@ Second pass: branches of low importance are removed from each page, as are eleme
 whose name, role or class says that they are menus, adverts, forms and the like. Pages
 with an article or main element keep what stands in it.
 
-A node is judged only on hosts with `LEAST_PAGES` pages or more that show it, and not on
-hosts where all contents repeat, as copies of one page say nothing about its parts.
+A node is judged only on hosts with `LEAST_PAGES` different pages or more that show it,
+and not on hosts where all contents repeat.
 
 Defined cases: null or empty html has an empty text; pages without a host form one
 site; broken markup is read leniently; repeated rows get equal texts; an empty table
@@ -29,7 +30,7 @@ from html import unescape
 from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgrain.llm.common import ship_package, small_side, stored
@@ -155,9 +156,8 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
     return blocks, children
 
 
-def host_of(url) -> str:
-    m = re.match(r"\s*[a-z][a-z0-9+.-]*://([^/?#]*)", url or "", re.I)
-    return m[1].lower() if m else ""
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
 
 def _key(text: str) -> int:
@@ -169,14 +169,14 @@ PAGE, STYLE, CONTENT = 0, 1, 2
 
 
 def site_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, node, kind, feature, n): in how many pages of a host a node shows a feature."""
+    """(host, node, kind, feature, n): in how many different pages of a host a node shows a feature."""
     ship_package(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counts: Counter = Counter()
-            for url, page in zip(batch["url"], batch["html"], strict=True):
-                host, seen = host_of(url), set()
+            for host, page in zip(batch["host"], batch["html"], strict=True):
+                seen = set()
                 blocks, children = parse(page or "")
                 for b in blocks:
                     node = _key(b.path)
@@ -190,8 +190,10 @@ def site_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html")
             rows = list(zip(*[(*k, n) for k, n in counts.items()], strict=True)) or [[]] * 5
             yield pd.DataFrame(dict(zip(("host", "node", "kind", "feature", "n"), rows, strict=True))).astype({"node": "uint64", "feature": "uint64"}).astype({"node": "int64", "feature": "int64"})
 
-    slim = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = slim.mapInPandas(run, "host string, node bigint, kind int, feature bigint, n bigint")
+    slim = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    # copies meet by their digest and are combined per task before they are shuffled
+    distinct = slim.withColumn("digest", F.sha2("html", 256)).dropDuplicates(["host", "digest"]).select("host", "html")
+    rows = distinct.mapInPandas(run, "host string, node bigint, kind int, feature bigint, n bigint")
     return rows.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
@@ -249,9 +251,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text and n_chars of every page."""
     tree = low_nodes(importance(site_counts(pages, url_col, html_col)))
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     known = small_side(tree.withColumnRenamed("host", "site"), 4000)
-    joined = slim.withColumn("host", host).join(known, F.col("host") == F.col("site"), "left").select("page_id", "url", "html", "low", "lowest")
+    joined = slim.withColumn("host", host_of(F.col("url"))).join(known, F.col("host") == F.col("site"), "left").select("page_id", "url", "html", "low", "lowest")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -189,6 +189,15 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert {r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()} == {"The same page\neverywhere"}
 
 
+def test_copies_among_other_pages_keep_their_text(spark):
+    page = "<body><article><h1>Copied</h1><p>Text</p><ul><li>One item</ul><blockquote>Quoted</blockquote></article></body>"
+    other = "<body><article><h1>Head {0}</h1><p>Own {0}</p></article></body>"
+    rows = [(i, f"http://a.x/{i}", page, "d", "l", "h") for i in range(50)]
+    rows += [(50 + i, f"http://A.x/{i}", other.replace("{0}", str(i)), "d", "l", "h") for i in range(50)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {got[i] for i in range(50)} == {"Copied\nText\nOne item\nQuoted"} and got[57] == "Head 7\nOwn 7"
+
+
 def test_empty_corpus(spark):
     empty = frame(spark, [])
     assert exact_dedup.deduplicate(empty).count() == 0
