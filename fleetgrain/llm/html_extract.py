@@ -11,7 +11,11 @@ one row per distinct style or content and task.
 
 Second pass: branches of low importance are removed from each page, as are elements
 whose name, role or class says that they are menus, adverts, forms and the like. Pages
-with an article or main element keep what stands in it.
+with an article or main element keep what stands in it. Only whole words of a class, id
+or role decide, and never for an article, a main element or what encloses one, unless the
+page has another that nothing of the kind encloses. Words that articles also use, and
+words that are part of a longer name, decide nothing by themselves: the tree does, by the
+threshold that holds outside articles.
 
 A node is judged only on hosts with `LEAST_PAGES` different pages or more that show it,
 and not on hosts where all contents repeat.
@@ -64,6 +68,9 @@ NOISE_WORDS = frozenset(
     "social share sharing related recommended comment comments disqus respond pager pagination toolbar login search "
     "complementary contentinfo alert dialog".split()
 )
+#: Of these, words that parts of an article also have.
+AMBIGUOUS = frozenset("banner promo promotion notice alert dialog social search consent comment respond".split())
+NAMED = NOISE_WORDS - AMBIGUOUS
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|textarea|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
@@ -75,20 +82,39 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Block:
-    """A block of text, the path it stands at and where that is."""
+    """A block of text, the path it stands at and where that is.
 
-    __slots__ = ("path", "parent", "noise", "inside", "text")
+    `doubtful` blocks stand in an element whose name may mean noise.
+    """
+
+    __slots__ = ("path", "parent", "noise", "inside", "doubtful", "text")
+
+    def __init__(self, path: str, parent: str, noise: bool, inside: bool, doubtful: bool, text: str):
+        self.path, self.parent, self.noise, self.inside, self.doubtful, self.text = path, parent, noise, inside, doubtful, text
+
+
+class Place:
+    """An open element.
+
+    `named` numbers the elements around it, itself included, whose words mean noise;
+    `root` is what `named` was for the outermost article or main element, and `within`
+    says whether an article is among those.
+    """
+
+    __slots__ = ("name", "path", "noise", "named", "root", "within", "doubtful")
 
-    def __init__(self, path: str, parent: str, noise: bool, inside: bool, text: str):
-        self.path, self.parent, self.noise, self.inside, self.text = path, parent, noise, inside, text
+    def __init__(self, name: str, path: str, noise: bool, named: frozenset[int], root: frozenset[int] | None, within: bool, doubtful: bool):
+        self.name, self.path, self.noise, self.named, self.root, self.within, self.doubtful = name, path, noise, named, root, within, doubtful
 
 
 def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
     """Blocks of a page in order, and the child elements of each block element."""
-    blocks: list[Block] = []
+    found: list[tuple[Place, str]] = []
     children: dict[str, list[str]] = {}
-    # open elements: name, path, noise, inside an article
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    stack = [Place("", "", False, frozenset(), None, False, False)]
+    # what names noise around each main element, and around each article that is in no other
+    mains: list[frozenset[int]] = []
+    articles: list[frozenset[int]] = []
     pending: list[str] = []
 
     def flush() -> None:
@@ -96,15 +122,14 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
             text = _SPACE.sub(" ", unescape("".join(pending))).strip()
             pending.clear()
             if text:
-                name, path, noise, inside = stack[-1]
-                blocks.append(Block(path, path.rpartition("/")[0], noise, inside, text))
+                found.append((stack[-1], text))
 
     def spill(text: str) -> None:
-        if text and stack[-1][0] not in SILENT:
+        if text and stack[-1].name not in SILENT:
             pending.append(text)
 
     def pop(depth: int) -> None:
-        if any(e[0] not in INLINE for e in stack[depth:]):
+        if any(e.name not in INLINE for e in stack[depth:]):
             flush()
         del stack[depth:]
 
@@ -119,7 +144,7 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
         name = name.lower()
         if m["end"]:
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
+                if stack[depth].name == name:
                     pop(depth)
                     break
             continue
@@ -128,31 +153,52 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
         if name not in INLINE:
             closes = CLOSES.get(name, frozenset()) | ({"p"} if name in ENDS_PARAGRAPH else frozenset())
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in closes:
+                if stack[depth].name in closes:
                     pop(depth)
-                elif stack[depth][0] in CONTAINERS:
+                elif stack[depth].name in CONTAINERS:
                     break
             flush()
         if name in VOID:
             continue
-        _, path, noise, inside = stack[-1]
+        top = stack[-1]
+        path, noise, named, root, within, doubtful = top.path, top.noise, top.named, top.root, top.within, top.doubtful
         marks = ""
         if m["attrs"]:
             marks = " ".join(a or b or c for _, a, b, c in _ATTRS.findall(m["attrs"])).lower()
         if not noise:
-            noise = name in NOISE or name in SILENT or (name == "header" and not inside)
-            if marks and not noise and name not in ("html", "body", "main"):
-                noise = not NOISE_WORDS.isdisjoint(_PARTS.split(marks))
+            noise = name in NOISE or name in SILENT or (name == "header" and root is None)
+            if name in ("article", "main"):
+                if not noise:
+                    if name == "main":
+                        mains.append(named)
+                    elif not within:
+                        articles.append(named)
+                    root = named if root is None else root
+                    doubtful = doubtful and within
+                    within = within or name == "article"
+            elif marks and not noise and name not in ("html", "body"):
+                if not NAMED.isdisjoint(marks.split()):
+                    named = named | {m.start()}
+                elif not NOISE_WORDS.isdisjoint(_PARTS.split(marks)):
+                    doubtful = True
         if name not in INLINE:
             step = f"{name}.{marks}" if marks and name not in ("html", "body") else name
             children.setdefault(path, []).append(step)
             path = f"{path}/{step}"
-        stack.append((name, path, noise, inside or (name in ("article", "main") and not noise)))
+        stack.append(Place(name, path, noise, named, root, within, doubtful))
         if m["attrs"].endswith("/") and name in ("svg", "path"):
             stack.pop()
     if last < len(page):
         spill(page[last:])
     flush()
+    around_main = frozenset().union(*mains)
+    forgiven = around_main
+    if all(a - around_main for a in articles):
+        forgiven = forgiven.union(*articles)
+    blocks = [
+        Block(p.path, p.path.rpartition("/")[0], p.noise or bool(p.named - forgiven), p.root is not None and p.root <= around_main, p.doubtful, text)
+        for p, text in found
+    ]
     return blocks, children
 
 
@@ -235,11 +281,11 @@ def low_nodes(nodes: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
 def main_text(page: str | None, low: frozenset[int], lowest: frozenset[int]) -> str:
     """Text of the blocks that stay, one per line."""
     blocks = [b for b in parse(page or "")[0] if not b.noise]
-    if any(b.inside for b in blocks):
-        kept = [b.text for b in blocks if b.inside and not (lowest and _signed(b.path) in lowest)]
-    else:
-        kept = [b.text for b in blocks if not (low and _signed(b.path) in low)]
-    return "\n".join(kept)
+    article = any(b.inside for b in blocks)
+    if article:
+        blocks = [b for b in blocks if b.inside]
+    out = ((b, lowest if article and not b.doubtful else low) for b in blocks)
+    return "\n".join(b.text for b, cut in out if not (cut and _signed(b.path) in cut))
 
 
 def _signed(path: str) -> int:

@@ -198,6 +198,35 @@ def test_copies_among_other_pages_keep_their_text(spark):
     assert {got[i] for i in range(50)} == {"Copied\nText\nOne item\nQuoted"} and got[57] == "Head 7\nOwn 7"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><p>out</p><article class='post comments-open'><p>In</p></article></body>", "In"),
+        ("<p>out</p><article class='ad'><header>Head</header><p>In</p></article>", "Head\nIn"),
+        ("<div id='content' class='no-sidebar'><p>Text</p></div>", "Text"),
+        ("<article><p>In</p><section class='related-work'><p>Work</p></section><div class='notice'>Note</div></article>", "In\nWork\nNote"),
+        ("<div class='wide sidebar'><main><p>In</p></main></div><p>out</p>", "In"),
+        ("<div class='wide sidebar'><article><p>In</p></article></div>", "In"),
+        ("<main><h1>Head</h1><div class='sidebar'><article><p>In</p></article></div></main>", "Head\nIn"),
+        # what is named as noise beside or inside an article stays out
+        ("<article><p>In</p><div class='x comments'><article>c</article></div></article><div id=related><article>r</article></div>", "In"),
+        ("<article><p>In</p></article><aside><article>a</article></aside><div class='ad'>buy</div>", "In"),
+        # articles that are noise by name take nothing from the rest
+        ("<div><p>Text</p></div><div class='comments'><article>c</article></div>", "Text\nc"),
+        ("<p>Text</p><div class='ad big'>buy</div><div role='navigation'>n</div>", "Text"),
+    ],
+)
+def test_noise_words_spare_articles(page, text):
+    assert html_extract.main_text(page, frozenset(), frozenset()) == text
+
+
+def test_tree_judges_ambiguous_words(spark):
+    page = "<article><h1>Head {0}</h1><p>Own {0}</p><div class='share-box'><p>Share this</p></div><div class='notice'><p>Note {0}</p></div></article>"
+    rows = [(i, f"http://a.x/{i}", page.replace("{0}", str(i)), "d", "l", "h") for i in range(20)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[4] == "Head 4\nOwn 4\nNote 4"
+
+
 def test_empty_corpus(spark):
     empty = frame(spark, [])
     assert exact_dedup.deduplicate(empty).count() == 0
