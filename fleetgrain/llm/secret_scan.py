@@ -12,7 +12,7 @@ neither text nor value leaves its row: only hashes travel.
 
 Defined cases: null or empty text has no spans; kinds are independent, so spans of
 different kinds may overlap; null owners count as one owner; repeated rows count once
-per owner; an empty table gives an empty result; other columns are not read.
+per owner; rows with null ids are told apart by a hash of their text; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -97,15 +97,21 @@ def all_spans(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
     return F.array_sort(F.concat(*[_spans(text, k, i) for i, k in enumerate(kinds)]))
 
 
+def _key(id_: Column, text: Column) -> Column:
+    """What tells rows with null ids apart; null for all others."""
+    return F.when(id_.isNull(), F.xxhash64(text))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """Spans of every row with its owner and repository hashes, stored: doc_id, spans, owner, repo."""
+    """Spans of every row with its owner and repository hashes, stored: doc_id, key, owner, repo, spans."""
     slim = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        _key(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("key"),
         F.xxhash64(F.col(owner_col)).alias("owner"),
         F.xxhash64(*[F.col(c) for c in repo_cols]).alias("repo"),
     )
-    return stored(slim.select("doc_id", "owner", "repo", all_spans(F.col("text")).alias("spans")), "secret-spans")
+    return stored(slim.select("doc_id", "key", "owner", "repo", all_spans(F.col("text")).alias("spans")), "secret-spans")
 
 
 def ownership(found: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
@@ -121,10 +127,10 @@ def ownership(found: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
 
 
 def verdicts(found: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """Live-looking and example values of each doc_id that holds any: doc_id, live_values, n_live, n_example."""
-    values = found.select("doc_id", F.explode(F.transform("spans", lambda s: s["value"])).alias("value")).distinct()
+    """Live-looking and example values of each document that holds any: doc_id, key, live_values, n_live, n_example."""
+    values = found.select("doc_id", "key", F.explode(F.transform("spans", lambda s: s["value"])).alias("value")).distinct()
     judged = values.join(ownership(found, most_owners), "value")
-    return judged.groupBy("doc_id").agg(
+    return judged.groupBy("doc_id", "key").agg(
         F.array_sort(F.collect_list(F.when(F.col("live"), F.col("value")))).alias("live_values"),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_example"),
@@ -143,8 +149,9 @@ def spans_text(spans: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
 def scan(docs: DataFrame, **columns) -> DataFrame:
     """A row per document: doc_id, spans, n_live, n_example."""
     found = find(docs, **columns)
-    judged = verdicts(found)
-    return found.select("doc_id", "spans").join(judged.select("doc_id", "n_live", "n_example"), "doc_id", "left").select(
+    judged = verdicts(found).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "n_live", "n_example")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("key").eqNullSafe(F.col("__key"))
+    return found.select("doc_id", "key", "spans").join(judged, same, "left").select(
         "doc_id", "spans", F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example")
     )
 
@@ -170,10 +177,11 @@ def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the texts that change.
     """
     judged = verdicts(find(docs, id_col, text_col, **columns)).where("n_live > 0")
-    live = judged.select(F.col("doc_id").alias("__id"), F.col("live_values").alias("__live"))
+    live = judged.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("live_values").alias("__live"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     hit = F.filter(all_spans(text), lambda s: F.array_contains(F.col("__live"), s["value"]))
-    joined = docs.join(small_side(stored(live, "secret-live"), 200), docs[id_col] == F.col("__id"), "left")
+    same = docs[id_col].eqNullSafe(F.col("__id")) & _key(docs[id_col], text).eqNullSafe(F.col("__key"))
+    joined = docs.join(small_side(stored(live, "secret-live"), 200), same, "left")
     joined = joined.withColumn("__new", F.when(F.col("__live").isNotNull(), redact(text, hit)))
     changed = {text_col: F.coalesce("__new", text_col)}
     if length_col is not None:

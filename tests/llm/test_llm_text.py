@@ -195,6 +195,16 @@ def test_secret_ownership_and_redaction(spark):
     assert rows[3].text == "one [SECRET]' two [SECRET]'" and rows[3].n_chars == len(rows[3].text)
 
 
+def test_secrets_of_rows_without_id(spark):
+    one, two = "token = 'aaaaaaaaaaaa1111'", "x token = 'bbbbbbbbbbbb2222' password=cccccccccccc3333"
+    rows = [(None, t, f"s{i}", None, len(t or ""), "w", None, "s", 1, 2, "r", "d") for i, t in enumerate([one, two, two, "clean", None])]
+    docs = spark.createDataFrame([*rows, (7, one, "s0", None, len(one), "w", None, "s", 1, 2, "r", "d")], SCHEMA)
+    got = sorted((r.doc_id or 0, r.n_live, r.n_example) for r in secret_scan.scan(docs).collect())
+    assert got == [(0, 0, 0), (0, 0, 0), (0, 1, 0), (0, 2, 0), (0, 2, 0), (7, 1, 0)]
+    out = sorted(r.text or "" for r in secret_scan.redact_live(docs).collect())
+    assert out == ["", "[SECRET]'", "[SECRET]'", "clean", "x [SECRET]' [SECRET]", "x [SECRET]' [SECRET]"]
+
+
 LICENSES = [
     "This work is licensed under the GNU General Public License, version 3.", "mit-license. MIT License", "code CC-BY 4.0", "Apache  License/apache license",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal "
