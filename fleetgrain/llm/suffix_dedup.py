@@ -23,8 +23,9 @@ a task holds one document at a time.
 
 Defined cases: null text is empty; texts below `LENGTH` bytes are kept whole; overlaps
 with the text itself count; of equal strings the one of the smallest doc_id and start
-stays; ids are unique (rows that repeat an id with its text are treated alike); null ids
-come first; an empty table gives an empty result; only the id and text columns are read.
+stays; ids are unique (rows that repeat an id with its text are treated alike); rows with null
+ids are texts of their own and come first; ids lie above those rows' numbers, which count
+up from the least bigint; an empty table gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -445,11 +446,19 @@ def cut(data: bytes, spans) -> bytes:
     return b"".join(out)
 
 
+def _numbered(slim: DataFrame) -> DataFrame:
+    """doc_id, text, own_id: rows without id, which are stored for it, get numbers below all ids."""
+    least = F.lit(-(1 << 63)).cast("bigint")
+    number = least + F.monotonically_increasing_id()
+    nameless = stored(slim.where("doc_id IS NULL").select(number.alias("doc_id"), "text", F.col("doc_id").alias("own_id")), "nameless")
+    return slim.where("doc_id IS NOT NULL").select("doc_id", "text", F.col("doc_id").alias("own_id")).unionByName(nameless)
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; `with_kept` adds the bytes that stay."""
     ship_package(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = removed_spans(slim)
+    slim = _numbered(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
+    spans = removed_spans(slim.select("doc_id", "text"))
     size = spans.agg(F.sum(F.size("spans") * 32 + 40).alias("b")).first()["b"] or 0
     shape = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
@@ -468,6 +477,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     column.append(value)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
-    joined = slim.join(small_side(spans, max(1, size // max(1, spans.count()))), "doc_id", "left").select("doc_id", "text", "spans")
+    joined = slim.join(small_side(spans, max(1, size // max(1, spans.count()))), "doc_id", "left").select(F.col("own_id").alias("doc_id"), "text", "spans")
     ddl = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_kept else "")
     return joined.mapInArrow(run, ddl)

@@ -78,6 +78,18 @@ def test_suffix(spark, corpus, monkeypatch, stretches):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in rows)
 
 
+def test_suffix_of_rows_without_id(spark):
+    rng = random.Random(4)
+    passage, alone = " ".join(words(rng, 60)), " ".join(words(rng, 60, 9000))
+    rows = [(5, f"five {passage}"), (None, f"{passage} first"), (None, f"{passage} second"), (None, alone), (-9, alone)]
+    got = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), with_kept=True).collect()
+    assert sorted(r.doc_id is None for r in got) == [False, False, True, True, True]
+    kept = {r.doc_id: bytes(r.kept).decode() for r in got if r.doc_id is not None}
+    assert kept[5].strip() == "five" and kept[-9] == ""
+    nameless = sorted(bytes(r.kept).decode() for r in got if r.doc_id is None)
+    assert sum(passage in t for t in nameless) == 1 and alone in nameless and min(map(len, nameless)) < 10
+
+
 def test_equal_strings():
     rng = random.Random(3)
     for _ in range(200):
