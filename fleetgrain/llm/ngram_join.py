@@ -24,7 +24,7 @@ joins at hot signatures are split by AQE, and sets never leave the task that mad
 
 Defined cases: null or empty text, or one without words, has an empty set and its own
 component; a text of fewer than `n` words has its whole sequence as one n-gram; repeated
-rows are one node; null ids form a node like any other text but never name a component;
+rows are one node; rows with null ids take the component of an equal text with an id, else none, and link nothing;
 an empty table gives an empty result; only the id and text columns are read.
 """
 
