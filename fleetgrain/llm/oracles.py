@@ -115,6 +115,31 @@ c AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT c.doc_id, e.b FROM c JOIN e
 SELECT c.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id FROM c LEFT JOIN n USING (doc_id) GROUP BY 1"""
 
 
+def negatives_sql() -> str:
+    return """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 5"""
+
+
+def substring_sql() -> str:
+    return rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANKS}'), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d) z),
+q AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS first FROM g) z WHERE first < doc_id),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM q),
+n AS (SELECT doc_id, count(*) AS n_spans FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM r) z WHERE b IS NULL OR b < i - 1 GROUP BY 1),
+k AS (SELECT u.doc_id, count(*) AS n_words, count(r.i) AS n_removed, string_agg(x, ' ' ORDER BY u.i) FILTER (r.i IS NULL) AS kept FROM u LEFT JOIN r ON r.doc_id = u.doc_id AND r.i = u.i GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_sql(),
@@ -123,4 +148,6 @@ def all_sql() -> dict[str, str]:
         "op6_secret_scan": secret_sql(),
         "op7_suffix_dedup": suffix_sql(),
         "op10_ngram_join": ngram_sql(),
+        "op12_hard_negatives": negatives_sql(),
+        "op13_substring_dedup": substring_sql(),
     }

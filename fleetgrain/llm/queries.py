@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgrain.llm import exact_dedup, html_extract, license_scan, ngram_join, packing, piece_codec, quality_rules, secret_scan, suffix_dedup, warc
+from fleetgrain.llm import (
+    exact_dedup, hard_negatives, html_extract, license_scan, ngram_join, packing, piece_codec, quality_rules, secret_scan, seed_extend, spelling_variants, suffix_dedup, warc,
+)
 from fleetgrain.llm.common import table, vocabulary
 from fleetgrain.llm.oracles import all_sql
 
@@ -61,11 +63,27 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, vec_id = F.col("label"), F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), hard_negatives.whole_vectors(F.col("embedding"), 256).alias("vector")
+    )
+    return hard_negatives.mine(rows, vec_id % 100 == 0)
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed_extend.deduplicate(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_sentencepiece, op3_packing, op4_warc, op5_exact_dedup, op6_secret_scan, op7_suffix_dedup,
-        op8_license_scan, op9_html_extraction, op10_ngram_join,
+        op8_license_scan, op9_html_extraction, op10_ngram_join, op11_spelling_variants, op12_hard_negatives, op13_substring_dedup,
     )
 }
 
