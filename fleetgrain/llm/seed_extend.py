@@ -19,6 +19,9 @@ that is shuffled, one for about five words.
 5. Covered windows of a document that overlap or touch unite to its maximal repeats, none
    shorter than a window, and are cut from the whole text.
 
+Lists of occurrences and of repeats grow with the corpus, so texts meet them in shuffled joins
+at every size.
+
 Defined cases: null text has no words; texts below `WINDOW` words are kept whole; repeats
 inside one document only are kept; rows without id come after all ids, which are below
 2 ** 62, in the order of a hash of their texts; rows that repeat an id never cut each other
@@ -304,8 +307,7 @@ def repeats(slim: DataFrame) -> DataFrame:
     place = F.col("place")
     asked = groups.join(several.select("seed"), "seed").select("doc", _field(place, 0, _HASH_BITS).alias("mark"), F.struct("seed", "content", "place").alias("one"))
     wanted = stored(asked.groupBy("doc", "mark").agg(F.collect_list("one").alias("asked")), "seeds-wanted")
-    size = wanted.agg(F.sum(F.size("asked") * 32 + 60).alias("b")).first()["b"] or 0
-    gathered = _gather(slim, small_side(wanted, max(1, size // max(1, wanted.count()))))
+    gathered = _gather(slim, wanted.hint("merge"))
     hot = several.where(F.col("n") > BLOCK).select("seed", F.lit(True).alias("hot"))
     gathered = stored(gathered.join(small_side(hot, 16), "seed", "left"), "seed-surroundings")
     dealt = gathered.where("hot IS NULL").repartition("seed").sortWithinPartitions("seed")
@@ -348,7 +350,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     number = F.coalesce(own, F.lit(NO_ID) + F.xxhash64(text).bitwiseAND(NO_ID - 1))
     slim = docs.select(number.alias("doc"), F.xxhash64(text).bitwiseAND((1 << _HASH_BITS) - 1).alias("mark"), text.cast("binary").alias("text"), own.alias("own"))
     spans = repeats(slim.select("doc", "mark", "text"))
-    size = spans.agg(F.sum(F.size("spans") * 32 + 60).alias("b")).first()["b"] or 0
     shape = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
         + ([("kept", pa.string())] if with_kept else [])
@@ -369,6 +370,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     column.append(value)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
-    joined = slim.join(small_side(spans, max(1, size // max(1, spans.count()))), ["doc", "mark"], "left").select("own", "text", "spans")
+    joined = slim.join(spans.hint("merge"), ["doc", "mark"], "left").select("own", "text", "spans")
     ddl = "doc_id bigint, n_words bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept string" if with_kept else "")
     return joined.mapInArrow(run, ddl)
