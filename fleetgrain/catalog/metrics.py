@@ -150,7 +150,17 @@ def _dense(v):
     return v.completions.withColumn("metric_key", c("origin_stop_id")).withColumn("completed_at", squeezed)
 
 
-R.add(
-    "M06_accept_sequentially", "event_id:i, metric_key:s, accepted:b, weight:f, rejection_reason:s, reference_count:i, modified_z:f",
-    lambda v: samples.accept_sequentially(_dense(v)),
-)
+VERDICTS = "event_id:i, metric_key:s, accepted:b, weight:f, rejection_reason:s, reference_count:i, modified_z:f"
+# one step a row of each key: the row is judged by the accepted ones of its last hour
+FOLD_SQL = """WITH RECURSIVE d AS (SELECT event_id, origin_stop_id AS metric_key, duration_seconds AS x, distance_m AS m, confidence, epoch_us(TIMESTAMP '2024-01-01 00:00:00') + (epoch_us(completed_at) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) // 20 AS us FROM completions),
+o AS (SELECT *, row_number() OVER (PARTITION BY metric_key ORDER BY us, x) AS rn FROM d),
+f AS (SELECT metric_key, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS confidence, CAST(NULL AS VARCHAR) AS reason, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS z, CAST([] AS STRUCT(us BIGINT, x DOUBLE)[]) AS kept FROM (SELECT DISTINCT metric_key FROM o) k
+UNION ALL SELECT metric_key, rn, event_id, confidence, reason, n, z, CASE WHEN reason IS NULL THEN list_append(refs, {'us': us, 'x': x}) ELSE refs END AS kept FROM (
+ SELECT *, CASE WHEN NOT (isfinite(x) AND isfinite(m) AND x > 0 AND m > 0) THEN 'invalid_measurement' WHEN m / x * 3.6 > 80 THEN 'speed_over_80' WHEN n >= 5 AND CASE WHEN mad = 0 THEN abs(x - med) > greatest(5.0, med * 0.1) ELSE 0.6745 * abs(x - med) / mad > 3.5 END THEN 'mad_outlier' END AS reason,
+  CASE WHEN n >= 5 AND isfinite(x) AND isfinite(m) AND x > 0 AND m > 0 AND m / x * 3.6 <= 80 AND mad > 0 THEN 0.6745 * abs(x - med) / mad END AS z FROM (
+  SELECT *, list_aggregate(list_transform(refs, lambda r: abs(r.x - med)), 'median') AS mad FROM (
+   SELECT *, len(refs) AS n, list_aggregate(list_transform(refs, lambda r: r.x), 'median') AS med FROM (
+    SELECT o.metric_key, o.rn, o.event_id, o.us, o.x, o.m, o.confidence, list_filter(f.kept, lambda r: r.us > o.us - 3600000000) AS refs FROM f JOIN o ON o.metric_key = f.metric_key AND o.rn = f.rn + 1) a) b) c) e)
+SELECT event_id, metric_key, reason IS NULL AS accepted, CASE WHEN reason IS NOT NULL THEN 0.0 WHEN n < 5 THEN 0.5 WHEN confidence = 'high' THEN 1.0 ELSE 0.5 END AS weight, reason AS rejection_reason, n AS reference_count, z AS modified_z FROM f WHERE rn > 0"""
+
+R.add("M06_accept_sequentially", VERDICTS, lambda v: samples.accept_sequentially(_dense(v)), FOLD_SQL, "completions")

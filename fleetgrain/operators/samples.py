@@ -5,13 +5,15 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgrain.functions.identity import metric_key
+from fleetgrain.session import materialize
 
 # Acceptance limits.
 MAX_SPEED_KMH = 80.0
@@ -169,46 +171,99 @@ _VERDICT_COLUMNS = (
 )
 
 
-def _assess_sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fold over a partition sorted by key, run and completion, batch by batch."""
+def _fold_sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fold over a partition sorted by key, chunk and completion, batch by batch.
+
+    Rows marked `_assumed` were accepted in the chunk before; they enter the window and go no further.
+    """
     current, window = None, ReferenceWindow()
     for frame in frames:
         verdicts = []
         rows = zip(
-            frame["metric_key"], frame["run_id"], frame["completed_micros"],
+            frame["metric_key"], frame["_chunk"], frame["_assumed"], frame["completed_micros"],
             frame["duration_seconds"], frame["distance_m"], frame["confidence"],
         )
-        for key, run, at, duration, distance, confidence in rows:
-            if current != (key, run):
-                current, window = (key, run), ReferenceWindow()
-            verdicts.append(window.assess(int(at), duration, distance, confidence))
-        judged = pd.DataFrame(verdicts, columns=list(_VERDICT_COLUMNS), index=frame.index)
-        yield pd.concat([frame, judged], axis=1)
+        for key, chunk, assumed, at, duration, distance, confidence in rows:
+            if current != (key, chunk):
+                current, window = (key, chunk), ReferenceWindow()
+            if assumed:
+                window.recent.append((int(at), duration))
+                insort(window.ordered, duration)
+            else:
+                verdicts.append(window.assess(int(at), duration, distance, confidence))
+        own = frame[~frame["_assumed"].astype(bool)]
+        judged = pd.DataFrame(verdicts, columns=list(_VERDICT_COLUMNS), index=own.index)
+        yield pd.concat([own, judged], axis=1)
 
 
-def accept_sequentially(observations: DataFrame) -> DataFrame:
-    """Assess per metric key in completion order; accepted ones become references.
+_CHUNK = ["metric_key", "_chunk"]
+
+
+def _fold_chunks(own: DataFrame, assumed: DataFrame) -> DataFrame:
+    """Verdicts of the rows of `own`; `assumed` are accepted rows of the chunks before theirs."""
+    given = {"metric_key": F.col("metric_key"), "_chunk": F.col("_chunk") + 1, "completed_micros": F.col("completed_micros"), "duration_seconds": F.col("duration_seconds")}
+    # numbers stay whole in pandas only where none is null
+    fill = lambda f: F.lit(0 if f.dataType.typeName() in ("integer", "long", "short", "byte") else None).cast(f.dataType)
+    before = assumed.select(*[given.get(f.name, fill(f)).alias(f.name) for f in own.schema])
+    both = own.withColumn("_assumed", F.lit(False)).unionByName(before.withColumn("_assumed", F.lit(True)))
+    line = both.repartition(*_CHUNK).sortWithinPartitions(*_CHUNK, "completed_micros", "duration_seconds", "distance_m", "confidence")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in line.schema)
+    return line.mapInPandas(_fold_sorted, f"{fields}, {ASSESSMENT}").drop("_assumed")
+
+
+def _signatures(rows: DataFrame) -> DataFrame:
+    """What tells two sets of accepted rows of a chunk apart."""
+    mark = F.xxhash64("completed_micros", "duration_seconds")
+    return rows.groupBy(*_CHUNK).agg(F.struct(F.count("*"), F.bit_xor(mark), F.sum(mark.bitwiseAND(0xFFFFFFFF))).alias("signature"))
+
 
-    Acceptance depends on earlier acceptance, so this is a fold. References
-    live one hour, so a key falls into independent runs wherever it pauses for
-    an hour, and runs spread over tasks. A task streams its sorted rows and
-    holds only the trailing hour of the run at hand.
+def accept_in_rounds(observations: DataFrame) -> tuple[DataFrame, int]:
+    """`accept_sequentially` and the number of rounds it took.
+
+    References live one hour, so what an hour of a key decides depends on the accepted rows of
+    the hour before and on nothing older. All hours are folded at once from an assumption: first
+    that the hour before accepted all rows that are valid and not too fast, later what it did
+    accept. Hours whose assumption proves different are folded again, until none is left; in
+    the worst case that is one more hour of a key in each round.
     """
-    keys = ["metric_key", "run_id"]
-    order = Window.partitionBy("metric_key").orderBy("completed_at")
-    pause = F.unix_micros("completed_at") - F.lag(F.unix_micros("completed_at")).over(order)
-    starts = (F.coalesce(pause, F.lit(1 << 60)) >= REFERENCE_SECONDS * 1_000_000).cast("int")
     columns = observations.columns
-    runs = (
-        observations.withColumn("completed_micros", F.unix_micros("completed_at"))
-        .withColumn("_start", starts)
-        .withColumn("run_id", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("_start")
-    )
-    sorted_runs = runs.repartition(*keys).sortWithinPartitions(*keys, "completed_micros", "duration_seconds")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_runs.schema)
-    judged = sorted_runs.mapInPandas(_assess_sorted, f"{fields}, {ASSESSMENT}")
-    return judged.select(*columns, *_VERDICT_COLUMNS)
+    at = F.unix_micros("completed_at")
+    rows = materialize(observations.withColumns({"completed_micros": at, "_chunk": F.floor(at / (REFERENCE_SECONDS * 1_000_000))}))
+    duration, distance = F.col("duration_seconds"), F.col("distance_m")
+    valid = finite(duration) & finite(distance) & (duration > 0) & (distance > 0)
+    chunks = rows.select(*_CHUNK).distinct()
+    assumed = rows.where(valid & (distance / duration * 3.6 <= MAX_SPEED_KMH))
+    believed = materialize(_signatures(assumed))
+    folded = [materialize(_fold_chunks(rows, assumed))]
+    newest = None
+    while True:
+        done = folded[-1]
+        renewed = _signatures(done.where("accepted"))
+        # chunks of the last round, and what the others accepted before
+        again = done.select(*_CHUNK).distinct()
+        found = materialize(renewed if newest is None else believed.join(again, _CHUNK, "left_anti").unionByName(renewed))
+        old, new = believed.withColumnRenamed("signature", "old"), found.withColumnRenamed("signature", "new")
+        differ = old.join(new, _CHUNK, "full").where(~F.col("old").eqNullSafe(F.col("new")))
+        todo = materialize(differ.select("metric_key", (F.col("_chunk") + 1).alias("_chunk")).join(chunks, _CHUNK, "left_semi"))
+        last = again.withColumn("_round", F.lit(len(folded) - 1))
+        newest = materialize(last if newest is None else newest.join(again, _CHUNK, "left_anti").unionByName(last))
+        versions = reduce(DataFrame.unionByName, [df.withColumn("_round", F.lit(k)) for k, df in enumerate(folded)])
+        judged = versions.join(newest, [*_CHUNK, "_round"], "left_semi")
+        if todo.isEmpty():
+            return judged.select(*columns, *_VERDICT_COLUMNS), len(folded)
+        before = todo.select("metric_key", (F.col("_chunk") - 1).alias("_chunk"))
+        accepted = judged.where("accepted").join(before, _CHUNK, "left_semi").select(rows.columns)
+        folded.append(materialize(_fold_chunks(rows.join(todo, _CHUNK, "left_semi"), accepted)))
+        believed = found
+
+
+def accept_sequentially(observations: DataFrame) -> DataFrame:
+    """Assess per metric key in completion order; accepted ones become references for an hour.
+
+    Acceptance depends on earlier acceptance, so this is a fold; `accept_in_rounds` runs the
+    hours of a key in parallel. A task streams its sorted rows and holds two hours of a key at most.
+    """
+    return accept_in_rounds(observations)[0]
 
 
 def assessment_counters(assessed: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from fleetgrain.operators.metrics import merge_moments, window_statistics
-from fleetgrain.operators.samples import accept_sequentially, assess_sample
+from fleetgrain.operators.samples import accept_in_rounds, accept_sequentially, assess_sample
 
 
 def judge(duration, distance, confidence, references):
@@ -61,6 +61,27 @@ def test_sequential_acceptance_equals_plain_fold(spark):
             kept[key].append((at, duration))
 
 
+def test_a_key_without_pause_is_folded_by_the_hour(spark):
+    rng, rows, at = random.Random(4), [], 0
+    for i in range(1500):
+        at += rng.choice([40, 60, 90])
+        duration = rng.choice([60.0, 61.0, 62.5, 70.0, 58.25]) + (200.0 if (at // 3600) % 5 == 3 else 0.0) + rng.random()
+        rows.append((i + (1 << 60), "k", at, duration, duration * rng.choice([5.0, 8.0, 30.0]), rng.choice(["high", "reduced"]), None if i % 3 else "x"))
+    df = spark.createDataFrame(
+        rows, "event_id bigint, metric_key string, s int, duration_seconds double, distance_m double, confidence string, note string"
+    ).withColumn("completed_at", F.timestamp_seconds("s"))
+    judged, rounds = accept_in_rounds(df)
+    got = {r["event_id"]: (r["accepted"], r["weight"], r["rejection_reason"], r["reference_count"], r["note"]) for r in judged.collect()}
+    kept: list = []
+    for event, _, at, duration, distance, confidence, note in rows:
+        kept = [(t, d) for t, d in kept if t > at - 3600]
+        want = judge(duration, distance, confidence, [d for _, d in kept])
+        assert got[event] == (*want, note), (event, got[event], want)
+        if want[0]:
+            kept.append((at, duration))
+    assert len(got) == len(rows) and 1 < rounds < rows[-1][2] // 3600
+
+
 def test_window_statistics_golden(spark):
     rows = [(100.0, True), (140.0, True), (900.0, False), (float("nan"), True)]
     df = spark.createDataFrame(rows, "duration_seconds double, accepted boolean").withColumn("weight", F.lit(1.0)).withColumn(
