@@ -10,6 +10,7 @@ from fleetgrain.catalog.entries import Registry
 from fleetgrain.functions.times import clock_text
 from fleetgrain.session import shared_dir
 from fleetgrain.sources.feeds import read_delimited
+from fleetgrain.sources.loads import read_published
 from fleetgrain.sources.timetable import append_feed_tables, new_feed_versions, read_gtfs
 
 R = Registry()
@@ -60,7 +61,7 @@ def _appended(v):
     folder = shared_dir(v.spark, "core")
     for feed in ("F1", "F2"):
         append_feed_tables({"stop_times": v.stop_times.withColumn("feed_id", F.lit(feed)), "trips": v.trips.withColumn("feed_id", F.lit(feed))}, folder)
-    tables = [v.spark.read.parquet(f"{folder}/{n}").groupBy("feed_id").agg(F.count("*").alias("rows")).withColumn("table_name", F.lit(n)) for n in ("stop_times", "trips")]
+    tables = [read_published(v.spark, folder, n).groupBy("feed_id").agg(F.count("*").alias("rows")).withColumn("table_name", F.lit(n)) for n in ("stop_times", "trips")]
     return tables[0].unionByName(tables[1])
 
 

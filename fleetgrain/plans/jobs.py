@@ -11,6 +11,7 @@ from fleetgrain.operators import crossings, estimates, eta, fleet, matching, met
 from fleetgrain.operators.correlation import exact_trip_match
 from fleetgrain.operators.ordered import hour_chunk, running_sum
 from fleetgrain.session import materialize
+from fleetgrain.sources.loads import AlreadyPublished
 from fleetgrain.sources.tables import overwrite_upsert, read_current
 from fleetgrain.sources.timetable import append_feed_tables, new_feed_versions, read_gtfs
 
@@ -73,10 +74,12 @@ def _content_of(spark: SparkSession, path: str) -> DataFrame:
 def timetable_job(
     spark: SparkSession, path: str, feed_id: str, target: str, feeds: DataFrame, retrieved_at: str
 ) -> dict[str, int]:
-    """Load one timetable version unless its content is known; write last.
+    """Load one timetable version unless its content is known.
 
-    Returns row counts per table, empty for known content. Placement is done
-    and stored before the first append, so its failure leaves nothing behind.
+    Returns row counts per table, empty for known content. All tables and the row of the
+    version itself are one load under the name of the content, so a failure at any point
+    leaves nothing visible, a retry brings each row once, and of two jobs with the same
+    content one publishes.
     """
     files = _content_of(spark, path)
     version = new_feed_versions(files, feeds).select("content_hash").first()
@@ -87,10 +90,10 @@ def timetable_job(
     feed = spark.createDataFrame(
         [(feed_id, version["content_hash"], retrieved_at)], "feed_id string, content_hash string, retrieved_at string"
     ).withColumn("retrieved_at", F.col("retrieved_at").cast("timestamp"))
-    counts = append_feed_tables(tables, target)
-    # the version becomes visible only now: readers start from the feeds table
-    counts.update(append_feed_tables({"feeds": feed}, target))
-    return counts
+    try:
+        return append_feed_tables({**tables, "feeds": feed}, target, version["content_hash"])
+    except AlreadyPublished:
+        return {}
 
 
 def correlated_windows(pings: DataFrame, active: DataFrame) -> DataFrame:
@@ -107,7 +110,37 @@ def match_windows(states: DataFrame, segments: DataFrame) -> DataFrame:
     rows = positions.sample_rows(eligible)
     near = shapes.nearby_segments(rows, segments, [*keys, "sample_index"])
     matches = matching.match_three_samples(matching.sample_windows(near, keys))
-    return matching.resolve_positions(states, matches, keys)
+    return coarse_positions(matching.resolve_positions(states, matches, keys), segments, keys)
+
+
+def coarse_positions(states: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Vehicles on a trip that no path resolves, placed at the nearest point of their shape.
+
+    The status says why there is no path: too far from the shape, too few samples, or
+    several ways to read them. One that the matching has given stays.
+    """
+    open_ = states.filter(
+        "correlation_status = 'matched' AND map_match_status <> 'resolved' AND latitude IS NOT NULL AND longitude IS NOT NULL"
+    )
+    placed = shapes.project_on_shape(open_, segments, keys)
+    fields = [c for c in placed.columns if c not in keys]
+    joined = states.join(placed.select(*keys, F.struct(*fields).alias("_coarse")), keys, "left")
+    found = F.col("_coarse").isNotNull()
+    status = (
+        F.when(F.col("map_match_status") != "collecting", F.col("map_match_status"))
+        .when(F.col("_coarse.projection_quality") == "fallback_required", "fallback_required")
+        .when(F.col("position_sample_count") < 3, "collecting")
+        .otherwise("ambiguous")
+    )
+    values = {c: F.when(found, F.col(f"_coarse.{c}")).otherwise(F.col(c)) for c in fields}
+    return joined.withColumns({**values, "map_match_status": F.when(found, status).otherwise(F.col("map_match_status"))}).drop("_coarse")
+
+
+def current_vehicles(states: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """The newest state of every vehicle; resolved ones with the stop pair they are between."""
+    rest = [c for c in states.columns if c != "vehicle_prefix"]
+    newest = states.groupBy("vehicle_prefix").agg(F.max_by(F.struct(*rest), "event_at").alias("r")).select("vehicle_prefix", "r.*")
+    return newest.join(crossings.locate_current_segment(newest, stop_times), "vehicle_prefix", "left")
 
 
 def resolved_moves(states: DataFrame) -> DataFrame:
@@ -145,7 +178,7 @@ def travel_time_replay(pings: DataFrame, tables: dict[str, DataFrame], active: D
     observed = samples.metric_identities(completed)
     assessed = materialize(samples.accept_sequentially(observed))
     return {
-        "states": states, "completed": completed, "observations": assessed,
+        "states": states, "current": current_vehicles(states, tables["stop_times"]), "completed": completed, "observations": assessed,
         "live": metrics.live_metrics(assessed), "daily": metrics.daily_metrics(assessed),
     }
 

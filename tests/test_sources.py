@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgrain.functions.times import gtfs_seconds, source_timestamp
 from fleetgrain.sources.feeds import read_position_feed, state_columns
+from fleetgrain.sources.loads import PUBLISHED, STAGED, AlreadyPublished, discard_unpublished, publications, publish, read_published
 from fleetgrain.sources.tables import overwrite_upsert, read_current
 from fleetgrain.sources.timetable import read_gtfs
 
@@ -43,7 +44,7 @@ def test_zip_and_folder_agree(spark, tmp_path):
 
 def test_missing_members_are_named(spark, tmp_path):
     (tmp_path / "agency.txt").write_text("agency_id\n")
-    with pytest.raises(ValueError, match="missing required files"):
+    with pytest.raises(ValueError, match="trips.txt"):
         read_gtfs(spark, str(tmp_path), "F1")
 
 
@@ -62,10 +63,33 @@ def test_feed_rows_and_rejections(spark, tmp_path):
 
 def test_time_text(spark):
     row = spark.range(1).select(
-        gtfs_seconds(F.lit("25:10:30")).alias("s"), source_timestamp(F.lit("2026-08-28T10:00:00Z")).alias("z"),
-        source_timestamp(F.lit("2026-08-28 10:00")).alias("n"), source_timestamp(F.lit("soon")).alias("bad"),
+        gtfs_seconds(F.lit("31:02:09")).alias("s"), source_timestamp(F.lit("2025-11-02T23:15:40Z")).alias("z"),
+        source_timestamp(F.lit("2025-11-02 20:15")).alias("n"), source_timestamp(F.lit("later today")).alias("bad"),
     ).first()
-    assert row["s"] == 90_630 and row["z"].hour == 10 and row["n"].hour == 13 and row["bad"] is None
+    assert row["s"] == 111_729 and row["z"].second == 40 and row["n"].hour == 23 and row["bad"] is None
+
+
+def test_a_load_is_visible_whole_or_not_at_all(spark, tmp_path):
+    target = str(tmp_path / "core")
+    good = spark.range(5).withColumn("feed_id", F.lit("A"))
+    bad = good.withColumn("id", F.when(F.col("id") == 3, F.raise_error(F.lit("torn member"))).otherwise(F.col("id")))
+    five = {f"t{k}": bad if k == 4 else good for k in range(6)}
+    with pytest.raises(Exception, match="torn member"):
+        publish(five, target, "h1")
+    assert read_published(spark, target, "t0") is None and not publications(spark, target)
+    assert publish({**five, "t4": good}, target, "h1") == {f"t{k}": 5 for k in range(6)}
+    assert publish({"t0": good.withColumn("feed_id", F.lit("B"))}, target, "h2") == {"t0": 5}
+    assert sorted(r["feed_id"] + str(r["id"]) for r in read_published(spark, target, "t0").collect()) == [f"{f}{i}" for f in "AB" for i in range(5)]
+    with pytest.raises(AlreadyPublished):
+        publish({"t0": good}, target, "h1")
+    assert read_published(spark, target, "t0").count() == 10 and read_published(spark, target, "t5").count() == 5
+    # a crash between creating the publication and its last byte
+    (tmp_path / "core" / PUBLISHED / "h3").write_text('{"folder": "st')
+    assert read_published(spark, target, "t0").count() == 10
+    publish({"t0": good}, target, "h3")
+    assert read_published(spark, target, "t0").count() == 15
+    before = len(list((tmp_path / "core" / STAGED).iterdir()))
+    assert before == 4 and len(discard_unpublished(spark, target, 1 << 62)) == 1 and read_published(spark, target, "t0").count() == 15
 
 
 def test_upsert_keeps_the_newer_row(spark, tmp_path):
