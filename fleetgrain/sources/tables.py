@@ -52,7 +52,8 @@ def overwrite_upsert(
         ).parquet(path)
         return
     current = read_current(spark, path)
-    merged = updates if current is None else upsert(current, updates, keys, newer, ties)
+    # repeated keys of the updates meet each other on the first write as well
+    merged = upsert(updates.limit(0) if current is None else current, updates, keys, newer, ties)
     version = _next_version(spark, path)
     merged.write.mode("overwrite").parquet(f"{path}/v{version:012d}")
 

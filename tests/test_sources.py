@@ -95,6 +95,7 @@ def test_a_load_is_visible_whole_or_not_at_all(spark, tmp_path):
 def test_upsert_keeps_the_newer_row(spark, tmp_path):
     path = str(tmp_path / "state")
     schema = "k string, at int, x int"
-    overwrite_upsert(spark, path, spark.createDataFrame([("a", 5, 1), ("b", 5, 1)], schema), ["k"], F.col("at"))
+    overwrite_upsert(spark, path, spark.createDataFrame([("a", 5, 1), ("b", 5, 1), ("a", 3, 7)], schema), ["k"], F.col("at"))
+    assert sorted(tuple(r) for r in read_current(spark, path).collect()) == [("a", 5, 1), ("b", 5, 1)]
     overwrite_upsert(spark, path, spark.createDataFrame([("a", 4, 2), ("b", 6, 2), ("c", 1, 2)], schema), ["k"], F.col("at"))
     assert sorted(tuple(r) for r in read_current(spark, path).collect()) == [("a", 5, 1), ("b", 6, 2), ("c", 1, 2)]
