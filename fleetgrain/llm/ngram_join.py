@@ -10,22 +10,29 @@ on a size class; a set takes part in its own class and in those of possible smal
 partners. The few sets that leave most fragments empty, so that the equal fragment could
 be an empty one, also give their prefix in the global order, which links must share.
 
-Pairs are verified exactly: the overlap is counted fragment by fragment and summed for
-the pair, until it is reached or can no longer be.
-
-No group is paired with itself. Each round takes pivots of a group (the least member,
-later the least of each of many parts), compares the others with them and joins what
-links into components; pivots then leave the group. Members of one component need no
-comparison, and a group whose rest is one component is done. So a group of n near copies
-costs about n pairs, while every pair that could join two components is compared.
-
-Equal sets are one node from the start. Signatures and minima combine on the map side,
-joins at hot signatures are split by AQE, and sets never leave the task that made them.
+The overlap of a candidate pair is counted exactly: for each fragment of the verification
+a (pair, fragment) row holds the overlap there, and the rows are summed for the pair.
+
+Candidates need no pairs of all members of a group. First every member of a group that
+shares a signature meets one pivot. Groups that still hold several components are merged
+by pivot and compared with a base, the n-grams that more than half of their members hold.
+A member is then its difference to the base, and two members that link either have
+differences so small that both link to the member nearest to the base, which is known
+without a comparison, or their differences share n-grams, at least so many as their sizes
+tell. So pairs come from the rarest n-grams of the differences only, never from what the
+copies have in common, and members whose n-grams of their own exceed half of what a link
+may spoil do not meet one another. A group of n near copies costs about n rows, and every
+pair that could join two components is compared.
+
+Sets are nodes, named by a hash, so equal sets are one node from the start and ids play no
+part until the end. Signatures, counts and minima combine on the map side, joins at hot
+keys are split by AQE.
 
 Defined cases: null or empty text, or one without words, has an empty set and its own
 component; a text of fewer than `n` words has its whole sequence as one n-gram; repeated
-rows are one node; rows with null ids take the component of an equal text with an id, else none, and link nothing;
-an empty table gives an empty result; only the id and text columns are read.
+rows are one node, equal ids with different texts are several; rows with null ids link like
+all others and take the least id that links reach, or null if there is none; an empty table
+gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -48,13 +55,12 @@ LEAST_PCT = 85
 RATIO = 1.5
 #: One fragment more for so many that may differ. Links then share several signatures.
 SPARE = 3
-#: Pivots of a group in the rounds after the first: at least and at most. Between them,
-#: as many as keep the pairs of a round below the members that there were at first.
-SLOTS = (64, 4096)
 #: Bytes of text whose words are hashed at once.
 SLICE_BYTES = 2 << 20
-#: Fragments in which the overlap of a pair is counted.
-VERIFY_FRAGMENTS = 8
+#: Bits of an n-gram that tell the fragment in which the overlap of a pair is counted.
+PART_BITS = 3
+#: Sets a and b link if DIFFERENT * |a ^ b| <= ALIKE * (|a| + |b|).
+DIFFERENT, ALIKE = 100 + LEAST_PCT, 100 - LEAST_PCT
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -162,34 +168,25 @@ def set_name(grams: np.ndarray) -> int:
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets link, counting the overlap fragment by fragment."""
+    """Whether two sets at hand link, counted by fragment as `verify` counts stored ones."""
     if not len(a) or not len(b):
         return False
     need = -(-LEAST_PCT * (len(a) + len(b)) // (100 + LEAST_PCT))  # 100 i >= 85 (a + b - i)
-    if min(len(a), len(b)) < need:
-        return False
-    edges = np.array([(k << 64) // VERIFY_FRAGMENTS for k in range(1, VERIFY_FRAGMENTS)], dtype=np.uint64)
-    cuts_a = [0, *np.searchsorted(a, edges).tolist(), len(a)]
-    cuts_b = [0, *np.searchsorted(b, edges).tolist(), len(b)]
-    overlap = 0
-    for k in range(VERIFY_FRAGMENTS):
-        x, y = a[cuts_a[k] : cuts_a[k + 1]], b[cuts_b[k] : cuts_b[k + 1]]
-        overlap += len(np.intersect1d(x, y, assume_unique=True))
-        if overlap + min(len(a) - cuts_a[k + 1], len(b) - cuts_b[k + 1]) < need:
-            return False
-    return overlap >= need
-
-
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, filled, needed, node and signatures of every row, stored."""
-    kind = docs.schema["doc_id"].dataType
-    numbers = ("n_shingles", "filled", "needed", "node")
+    edges = np.arange(1, 1 << PART_BITS, dtype=np.uint64) << np.uint64(64 - PART_BITS)
+    parts = zip(np.split(a, np.searchsorted(a, edges)), np.split(b, np.searchsorted(b, edges)), strict=True)
+    return sum(len(np.intersect1d(x, y, assume_unique=True)) for x, y in parts) >= need
+
+
+def _sets(slim: DataFrame) -> DataFrame:
+    """doc_id, row, key, n_shingles, filled, needed, node and signatures of every row, stored."""
+    kind = slim.schema["doc_id"].dataType
+    numbers = ("row", "key", "n_shingles", "filled", "needed", "node")
     shape = pa.schema([("doc_id", to_arrow_type(kind)), *[(c, pa.int64()) for c in numbers], ("sigs", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, filled, needed, names, sigs = [], [], [], [], []
-            for grams in shingle_sets(batch.column(1)):
+            for grams in shingle_sets(batch.column("text")):
                 made, own, least = signatures(grams)
                 sizes.append(len(grams))
                 filled.append(own)
@@ -198,147 +195,208 @@ def _sets(docs: DataFrame) -> DataFrame:
                 sigs.append(made.view(np.int64))
             bounds = np.concatenate(([0], np.cumsum([len(s) for s in sigs], dtype=np.int64))).astype(np.int32)
             flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
+            made = [pa.array(c, pa.int64()) for c in (sizes, filled, needed, names)]
             yield pa.record_batch(
-                [batch.column(0), *[pa.array(c, pa.int64()) for c in (sizes, filled, needed, names)], pa.ListArray.from_arrays(pa.array(bounds), flat)],
-                schema=shape,
+                [batch.column("doc_id"), batch.column("row"), batch.column("key"), *made, pa.ListArray.from_arrays(pa.array(bounds), flat)], schema=shape
             )
 
-    return stored(docs.mapInArrow(run, f"doc_id {kind.simpleString()}, {', '.join(f'{c} bigint' for c in numbers)}, sigs array<bigint>"), "ngram-sets")
+    rows = slim.withColumn("row", F.monotonically_increasing_id())
+    return stored(rows.mapInArrow(run, f"doc_id {kind.simpleString()}, {', '.join(f'{c} bigint' for c in numbers)}, sigs array<bigint>"), "ngram-sets")
+
 
+def _fragments(slim: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, part, grams) of the wanted (node, key) rows, a stored table, stored.
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) pairs that link; texts come to the pairs, sets are made in the task."""
+    The key only finds the texts; the name of a set is made again and must be the node's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = shingle_sets(batch.column(2)), shingle_sets(batch.column(3))
-            yield batch.select([0, 1]).filter(pa.array([linked(x, y) for x, y in zip(left, right, strict=True)], pa.bool_()))
+            nodes, parts, lists = [], [], []
+            for node, grams in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                if not len(grams) or set_name(grams) != node:
+                    continue
+                place = grams >> np.uint64(64 - PART_BITS)
+                starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+                nodes += [node] * len(starts)
+                parts += place[starts].tolist()
+                lists += np.split(grams.view(np.int64), starts[1:])
+            bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64))).astype(np.int32)
+            flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
+            yield pa.record_batch(
+                [pa.array(nodes, pa.int64()), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), flat)], names=["node", "part", "grams"]
+            )
+
+    texts = stored(slim.join(small_side(wanted, 24), "key").groupBy("node").agg(F.min("text").alias("text")), "ngram-texts")
+    return stored(texts.mapInArrow(run, "node bigint, part int, grams array<bigint>"), "ngram-fragments")
 
-    both = (
-        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
-    kind = pairs.schema["a"].dataType.simpleString()
-    return stored(both.mapInArrow(run, f"a {kind}, b {kind}"), "ngram-links")
+
+def _key_of(nodes: DataFrame, facts: DataFrame) -> DataFrame:
+    """(node, key) of distinct nodes, stored."""
+    return stored(nodes.distinct().join(facts.select("node", "key"), "node"), "ngram-wanted")
+
+
+def verify(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """The (a, b) pairs that link: overlaps by fragment, summed for each pair.
+
+    `pairs` has a, b and the sizes n_a and n_b.
+    """
+    one = fragments.select(F.col("node").alias("a"), "part", F.col("grams").alias("grams_a"))
+    two = fragments.select(F.col("node").alias("b"), "part", F.col("grams").alias("grams_b"))
+    partial = pairs.join(one, "a").join(two, ["b", "part"]).select("a", "b", "n_a", "n_b", "part", F.size(F.array_intersect("grams_a", "grams_b")).alias("here"))
+    summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("here").alias("both"))
+    return stored(summed.where(100 * F.col("both") >= LEAST_PCT * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), "ngram-links")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, component) with the least id that links reach, stored.
+    """(node, component) with the least node that links reach, stored.
 
     Every round takes the least label among neighbours, then the label's own label, so
     chains shorten by half.
     """
     both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ngram-edges")
-    labels = stored(nodes.select("doc_id", F.col("doc_id").alias("component")), "ngram-labels")
+    labels = stored(nodes.select("node", F.col("node").alias("component")), "ngram-labels")
     while True:
-        near = both.join(labels, both["b"] == labels["doc_id"]).groupBy("a").agg(F.min("component").alias("near"))
-        moved = labels.join(near, labels["doc_id"] == near["a"], "left").select("doc_id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
+        moved = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         moved = stored(moved, "ngram-moved")
-        own = moved.select(F.col("doc_id").alias("label"), F.col("component").alias("further"))
-        after = stored(
-            moved.join(own, moved["component"] == own["label"], "left").select("doc_id", F.coalesce("further", "component").alias("component"), "old"), "ngram-labels"
-        )
-        labels = after.select("doc_id", "component")
+        own = moved.select(F.col("node").alias("label"), F.col("component").alias("further"))
+        after = stored(moved.join(own, moved["component"] == own["label"], "left").select("node", F.coalesce("further", "component").alias("component"), "old"), "ngram-labels")
+        labels = after.select("node", "component")
         if after.where("component <> old").isEmpty():
             return labels
 
 
-def _candidates(members: DataFrame, number: int, slots: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of members with the pivots of their group, and the pivots' own rows.
-
-    `members` has sig, doc_id, n_shingles and component. Pairs of one component, or of
-    sizes that cannot link, are left out.
-    """
-    slot = F.lit(0) if number == 0 else F.pmod(F.xxhash64("doc_id", F.lit(number)), F.lit(slots))
-    least = F.min(F.struct("doc_id", "n_shingles", "component")).alias("p")
-    picked = members.groupBy("sig", slot.alias("slot")).agg(least).select(
-        "sig", F.col("p.doc_id").alias("pivot"), F.col("p.n_shingles").alias("size"), F.col("p.component").alias("theirs")
-    )
-    picked = stored(picked, "ngram-pivots")
-    fits = 100 * F.least("n_shingles", "size") >= LEAST_PCT * F.greatest("n_shingles", "size")
-    joined = members.join(picked, "sig").where((F.col("component") != F.col("theirs")) & fits)
-    return joined.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), picked.select("sig", "pivot")
-
-
 def _possible(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs whose sizes and numbers of shared signatures allow a link.
+    """Pairs whose sizes and numbers of shared signatures allow a link, with their sizes.
 
     With sizes x and y a link has at most x + y - 2 * ceil(85 (x + y) / 185) n-grams in
     one set only; each spoils at most one filled fragment of the smaller set's class.
     """
-    columns = ("n_shingles", "filled", "sigs")
-    one = held.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
-    two = held.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    x, y = F.col("n_shingles_a"), F.col("n_shingles_b")
+    columns = ("n", "filled", "sigs")
+    one = held.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = held.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    x, y = F.col("n_a"), F.col("n_b")
     both = x + y
     different = both - 2 * F.ceil(LEAST_PCT * both / F.lit(100 + LEAST_PCT))
     filled = F.when(x <= y, F.col("filled_a")).otherwise(F.col("filled_b"))
     joined = pairs.join(one, "a").join(two, "b").where(100 * F.least(x, y) >= LEAST_PCT * F.greatest(x, y))
-    return joined.where(F.size(F.array_intersect("sigs_a", "sigs_b")) >= filled - different).select("a", "b")
+    return joined.where(F.size(F.array_intersect("sigs_a", "sigs_b")) >= filled - different).select("a", "b", "n_a", "n_b")
+
+
+def _linked(pairs: DataFrame, held: DataFrame, slim: DataFrame) -> DataFrame | None:
+    """Those of the candidate pairs that link, or None if none can."""
+    possible = stored(_possible(pairs, held), "ngram-possible")
+    if possible.isEmpty():
+        return None
+    wanted = _key_of(possible.select(F.col("a").alias("node")).union(possible.select("b")), held)
+    return verify(possible, _fragments(slim, wanted))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     ship_package(docs.sparkSession)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     sets = _sets(slim)
-    nodes = stored(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "ngram-nodes")
-    copies = small_side(stored(nodes.where("n > 1").select(F.col("node").alias("c_node"), "first"), "ngram-copies"), 32)
-    single = (
-        sets.join(copies, F.col("node") == F.col("c_node"), "left")
-        .where("node IS NOT NULL AND doc_id IS NOT NULL AND (first IS NULL OR doc_id = first)")
-        .select("doc_id", "sigs")
-    )
-    sigs = single.select("doc_id", F.explode("sigs").alias("sig"))
+    least = [F.min(c).alias(c) for c in ("row", "key", "filled", "needed")]
+    named = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n_shingles").alias("n"), *least)
+    nodes = stored(named, "ngram-nodes")
+    copies = small_side(stored(nodes.where("copies > 1").select(F.col("node").alias("c_node"), F.col("row").alias("c_row")), "ngram-copies"), 16)
+    single = sets.join(copies, F.col("node") == F.col("c_node"), "left").where("node IS NOT NULL AND (c_row IS NULL OR row = c_row)")
+    sigs = single.select("node", F.explode("sigs").alias("sig"))
     shared = stored(sigs.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "ngram-shared")
-    met = sigs.join(shared, "sig").groupBy("sig", "doc_id").agg(F.max("n").alias("n"))
-    sizes = sets.select("doc_id", "n_shingles", "filled", "needed").dropDuplicates(["doc_id"])
-    grouped = stored(met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "sig"))).alias("ranked")), "ngram-met")
+    met = sigs.join(shared, "sig").groupBy("sig", "node").agg(F.max("n").alias("n"))
+    grouped = stored(met.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "sig"))).alias("ranked")), "ngram-met")
     # a set that shares too few signatures with all others together links with none; of
     # two sets that share t, both hold one of these among all but the t - 1 most frequent
-    rarest = F.slice("ranked.sig", F.lit(1), F.size("ranked") - F.col("needed") + 1)
-    enough = grouped.join(sizes, "doc_id").where(F.size("ranked") >= F.col("needed"))
-    held = stored(enough.select("doc_id", "n_shingles", "filled", F.col("ranked.sig").alias("sigs"), rarest.alias("rarest")), "ngram-held")
+    rarest = F.slice("ranked.sig", F.lit(1), (F.size("ranked") - F.col("needed") + 1).cast("int"))
+    enough = grouped.join(nodes, "node").where(F.size("ranked") >= F.col("needed"))
+    held = stored(enough.select("node", "key", "n", "filled", F.col("ranked.sig").alias("sigs"), rarest.alias("rarest")), "ngram-held")
     labels = _link(slim, held)
 
-    named = nodes.select("node", "first")
-    whole = sets.select("doc_id", "n_shingles", "node").join(stored(named, "ngram-named"), "node", "left")
-    return whole.join(labels.withColumnRenamed("doc_id", "first"), "first", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id")
-    )
-
-
-def _open_groups(members: DataFrame) -> DataFrame:
-    """Members of the groups that hold several components."""
-    several = members.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    return stored(members.join(stored(several, "ngram-open"), "sig"), "ngram-members")
+    placed = stored(nodes.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "ngram-placed")
+    ends = placed.groupBy("component").agg(F.min("first").alias("end"))
+    ended = stored(placed.join(ends, "component").select("node", "end"), "ngram-ends")
+    return sets.join(ended, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("end")).alias("component_id"))
 
 
 def _link(slim: DataFrame, held: DataFrame) -> DataFrame:
-    """Labels of the held sets after rounds of comparison with pivots."""
-    whole = held.select("doc_id", "n_shingles", F.col("doc_id").alias("component"), F.explode("rarest").alias("sig"))
-    members = _open_groups(stored(whole, "ngram-all-members"))
-    candidates = held.select("doc_id")
-    labels = stored(candidates.select("doc_id", F.col("doc_id").alias("component")), "ngram-labels")
-    number, tested, links = 0, None, None
-    first = members.count()
-    while rows := members.count():
-        pairs, pivots = _candidates(members, number, min(max(first // rows, SLOTS[0]), SLOTS[1]))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "ngram-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        possible = stored(_possible(pairs, held), "ngram-possible")
-        if not possible.isEmpty():
-            needed = stored(possible.select(F.col("a").alias("doc_id")).union(possible.select("b")).distinct(), "ngram-needed")
-            texts = slim.join(small_side(needed, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            found = verify(possible, stored(texts, "ngram-texts"))
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                labels = components(candidates, links)
-        # pivots have met all of their group; a rest in one component needs no more
-        rest = members.select("sig", "doc_id", "n_shingles").join(pivots.select("sig", F.col("pivot").alias("doc_id")), ["sig", "doc_id"], "left_anti")
-        members = _open_groups(stored(rest.join(labels, "doc_id").select("sig", "doc_id", "n_shingles", "component"), "ngram-rest"))
-        number += 1
-    return labels
+    """Labels of the held sets: pivots of the groups first, then what pivots left apart."""
+    members = stored(held.select("node", "n", F.explode("rarest").alias("sig")), "ngram-members")
+    least = F.min(F.struct("node", "n")).alias("p")
+    pivots = stored(members.groupBy("sig").agg(least, F.count("*").alias("k")).where("k > 1").select("sig", F.col("p.node").alias("pivot"), F.col("p.n").alias("size")), "ngram-pivots")
+    fits = 100 * F.least("n", "size") >= LEAST_PCT * F.greatest("n", "size")
+    met = members.join(pivots, "sig").where((F.col("node") != F.col("pivot")) & fits)
+    pairs = stored(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "ngram-pairs")
+    names = held.select("node")
+    links = _linked(pairs, held, slim)
+    labels = stored(names.select("node", F.col("node").alias("component")), "ngram-labels") if links is None else components(names, links)
+
+    placed = members.join(labels, "node")
+    several = placed.groupBy("sig").agg(F.count("*").alias("k"), F.min("component").alias("x"), F.max("component").alias("y")).where("k > 2 AND x <> y").select("sig")
+    groups = stored(placed.join(several, "sig").join(pivots, "sig").select("pivot", "node").distinct(), "ngram-groups")
+    if groups.isEmpty():
+        return labels
+    near, differences = _differences(groups, slim, held)
+    if not near.isEmpty():
+        links = near if links is None else links.unionByName(near)
+        labels = components(names, links)
+    pairs = stored(_apart(differences, labels).join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
+    found = _linked(pairs, held, slim)
+    if found is None or found.isEmpty():
+        return labels
+    return components(names, found if links is None else links.unionByName(found))
+
+
+def _differences(groups: DataFrame, slim: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links that the bases of the groups prove, and the members as differences to the base.
+
+    The weight of a member is DIFFERENT * |difference| - ALIKE * |set|. As the difference of
+    two members is at most the sum of theirs, weights whose sum is not positive prove a link.
+    The centre of a group is its member of least weight.
+    """
+    fragments = _fragments(slim, _key_of(groups.select("node"), held))
+    sets = fragments.groupBy("node").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    rows = stored(groups.join(stored(sets, "ngram-whole"), "node"), "ngram-grouped")
+    sizes = groups.groupBy("pivot").agg(F.count("*").alias("k"))
+    often = rows.select("pivot", F.explode("grams").alias("gram")).groupBy("pivot", "gram").agg(F.count("*").alias("c"))
+    # at most twice the mean size of the members
+    bases = often.join(stored(sizes, "ngram-sizes"), "pivot").where("2 * c > k").groupBy("pivot").agg(F.collect_list("gram").alias("base"))
+    based = rows.join(stored(bases, "ngram-bases"), "pivot", "left").withColumn("base", F.coalesce("base", F.array().cast("array<bigint>")))
+    apart = based.select("pivot", "node", F.size("grams").alias("n"), F.concat(F.array_except("grams", "base"), F.array_except("base", "grams")).alias("grams"))
+    weighed = stored(apart.withColumn("weight", F.lit(DIFFERENT) * F.size("grams") - F.lit(ALIKE) * F.col("n")), "ngram-differences")
+    centres = weighed.groupBy("pivot").agg(F.min(F.struct("weight", "node")).alias("c")).select("pivot", F.col("c.node").alias("centre"), F.col("c.weight").alias("least"))
+    whole = stored(weighed.join(stored(centres, "ngram-centres"), "pivot"), "ngram-weighed")
+    near = whole.where("node <> centre AND weight + least <= 0").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    return stored(near.distinct(), "ngram-near"), whole
+
+
+def _apart(differences: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components whose differences to their base share enough.
+
+    Two members that link but not through the centre share at least (sum of their weights) /
+    (2 * DIFFERENT) n-grams of their differences. The partner of a member weighs at least
+    as much as the centre, or as the least outside if the member is of the centre's component.
+    """
+    own = labels.withColumnsRenamed({"node": "centre", "component": "central"})
+    placed = stored(differences.join(labels, "node").join(own, "centre"), "ngram-placed")
+    outer = placed.where("component <> central").groupBy("pivot").agg(F.min("weight").alias("outer"))
+    open_rows = placed.join(stored(outer, "ngram-outer"), "pivot")
+    partner = F.when(F.col("component") == F.col("central"), F.col("outer")).otherwise(F.col("least"))
+    largest = F.floor(F.lit(100) * F.col("n") / F.lit(LEAST_PCT))
+    shares = F.greatest(F.lit(1), F.ceil((F.col("weight") + partner) / F.lit(2 * DIFFERENT)), F.ceil((F.col("weight") - ALIKE * largest) / F.lit(DIFFERENT)))
+    open_rows = open_rows.select("pivot", "node", "n", "component", "grams", shares.alias("shares")).where(F.size("grams") >= F.col("shares"))
+    open_rows = stored(open_rows, "ngram-open")
+    grams = open_rows.select("pivot", "node", F.explode("grams").alias("gram"))
+    common = stored(grams.groupBy("pivot", "gram").agg(F.count("*").alias("c")).where("c > 1"), "ngram-common")
+    ranked = grams.join(common, ["pivot", "gram"]).groupBy("pivot", "node").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("ranked"))
+    facts = open_rows.join(ranked, ["pivot", "node"]).withColumn("v", F.size("ranked")).withColumn("u", F.size("grams") - F.col("v")).where("v >= shares")
+    facts = facts.withColumn("light", 2 * DIFFERENT * F.col("u") <= ALIKE * (F.col("n") + F.floor(F.lit(100) * F.col("n") / F.lit(LEAST_PCT))))
+    prefix = F.slice("ranked.gram", F.lit(1), (F.col("v") - F.col("shares") + 1).cast("int"))
+    rows = stored(facts.select("pivot", "node", "n", "component", "v", "u", "light", F.explode(prefix).alias("gram")), "ngram-prefixes")
+    light = rows.where("light").drop("light")
+    other = rows.select("pivot", "gram", "light", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "v", "u")])
+    spoiled = F.col("u") + F.col("u_b") + F.abs(F.col("v") - F.col("v_b"))
+    fits = (F.col("component") != F.col("component_b")) & (DIFFERENT * spoiled <= ALIKE * (F.col("n") + F.col("n_b"))) & (~F.col("light") | (F.col("node") < F.col("node_b")))
+    met = light.join(other, ["pivot", "gram"]).where(fits)
+    return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()

@@ -135,6 +135,38 @@ def test_ngram_join(spark, corpus):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(sets_of(corpus)) and len(rows) == len(corpus)
 
 
+def test_ngram_join_of_rows_without_id(spark):
+    rng = random.Random(8)
+    base = words(rng, 120)
+    near = [" ".join([*base[:k], "new", *base[k + 1 :]]) for k in (20, 70, 110)]
+    far = [" ".join(words(rng, 90, 9000)) for _ in range(3)]
+    rows = [(7, near[0]), (None, " ".join(base)), (4, near[1]), (None, near[2]), (None, far[0]), (None, far[0].upper()), (3, far[1]), (3, far[2]), (None, None), (9, "")]
+    got = ngram_join.join(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, n int")).collect()
+    want = [(7, 4), (None, 4), (4, 4), (None, 4), (None, None), (None, None), (3, 3), (3, 3), (None, None), (9, 9)]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.component_id)) for r in got)
+
+
+def test_ngram_join_of_a_group_below_the_threshold(spark, monkeypatch):
+    """Copies of one text with four to seven words changed: most of them do not link."""
+    rng = random.Random(6)
+    base, texts = words(rng, 400, 9000), []
+    for k in range(600):
+        copy = list(base)
+        for place in rng.sample(range(400), 4 + k % 4):
+            copy[place] = f"n{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    compared, counted = [], ngram_join._possible
+
+    def possible(pairs, held):
+        compared.append(pairs.count())
+        return counted(pairs, held)
+
+    monkeypatch.setattr(ngram_join, "_possible", possible)
+    got = {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, texts)).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(sets_of(texts)).items()}
+    assert len(set(got.values())) > 1 and sum(compared) < 600 * 600 // 2 // 4
+
+
 def test_linked_sets_share_signatures():
     rng = np.random.default_rng(5)
     for n in [1, 2, 3, 5, 6, 7, 8, 11, 12, 17, 30, 64, 200]:
