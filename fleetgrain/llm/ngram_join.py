@@ -1,8 +1,9 @@
 """Jaccard join of word shingle sets by vertical partitioning of the n-gram order.
 
-The global order of the n-grams is that of their hashes, and it is cut into fragments.
-Two sets that link differ in at most 3/17 of the smaller one (0.15 / 0.85), so with a
-third more fragments than that, about a quarter are equal in both. Fragments become
+The global order of the n-grams is that of their hashes, and it is cut into fragments. A
+`Rule` tells the words of an n-gram and the least similarity. At 85 %, two sets that link
+differ in at most 3/17 of the smaller one (0.15 / 0.85), so with a third more fragments
+than that, about a quarter are equal in both. Fragments become
 signatures of the n-grams in them; only signatures that two different sets share leave
 the counting pass. A set with fewer of them than a link needs is out, and pairs come from
 the rarest ones alone, so many that two sets which share enough share one of those. How many fragments there are depends
@@ -38,12 +39,13 @@ gives an empty result; only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -59,8 +61,38 @@ SPARE = 3
 SLICE_BYTES = 2 << 20
 #: Bits of an n-gram that tell the fragment in which the overlap of a pair is counted.
 PART_BITS = 3
-#: Sets a and b link if DIFFERENT * |a ^ b| <= ALIKE * (|a| + |b|).
-DIFFERENT, ALIKE = 100 + LEAST_PCT, 100 - LEAST_PCT
+
+
+@dataclass(frozen=True)
+class Rule:
+    """N-grams of so many words; sets link if 100 * intersection >= percent * union."""
+
+    words: int = WORDS
+    percent: int = LEAST_PCT
+
+    def __post_init__(self):
+        if self.words < 1 or not 1 <= self.percent <= 100:
+            raise ValueError(f"no rule for a join: {self}")
+
+    @property
+    def whole(self) -> int:
+        """Sets a and b link if whole * |a ^ b| <= alike * (|a| + |b|)."""
+        return 100 + self.percent
+
+    @property
+    def alike(self) -> int:
+        return 100 - self.percent
+
+    def most_different(self, smaller: int) -> int:
+        """N-grams in which a linked pair can differ, by the size of its smaller set."""
+        return self.alike * smaller // self.percent
+
+    def least_partner(self, n: int) -> int:
+        """Size of the smallest set that a set of n n-grams can link with."""
+        return -(-self.percent * n // 100)
+
+
+RULE = Rule()
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,21 +152,16 @@ def _slice_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
         yield np.unique(gram)
 
 
-def size_class(n: int) -> tuple[int, int]:
+def size_class(n: int, rule: Rule = RULE) -> tuple[int, int]:
     """Number of the class that holds sets of n n-grams, and the fragments it has."""
     k, high = 0, 2
     while n >= high:
         k, high = k + 1, max(high + 1, int(high * RATIO))
-    different = _most_different(high - 1)
+    different = rule.most_different(high - 1)
     return k, different + 1 + different // SPARE
 
 
-def _most_different(smaller: int) -> int:
-    """N-grams in which a linked pair can differ, by the size of its smaller set."""
-    return (100 - LEAST_PCT) * smaller // LEAST_PCT
-
-
-def signatures(grams: np.ndarray) -> tuple[np.ndarray, int, int]:
+def signatures(grams: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, int, int]:
     """Signatures of a set, of which two linked sets share at least one.
 
     Also the number of filled fragments in the set's own class, and how many signatures
@@ -143,23 +170,23 @@ def signatures(grams: np.ndarray) -> tuple[np.ndarray, int, int]:
     n = len(grams)
     if not n:
         return np.zeros(0, dtype=np.uint64), 0, 0
-    least_partner = -(-LEAST_PCT * n // 100)
-    classes = {size_class(m) for m in (n, least_partner)}
+    least_partner = rule.least_partner(n)
+    classes = {size_class(m, rule) for m in (n, least_partner)}
     low, high = min(c[0] for c in classes), max(c[0] for c in classes)
     if high - low > 1:
-        classes |= {size_class(m) for m in range(least_partner, n + 1)}
+        classes |= {size_class(m, rule) for m in range(least_partner, n + 1)}
     mixed, out = mix(grams ^ _STEP), []
-    own, filled = size_class(n)[0], {}
+    own, filled = size_class(n, rule)[0], {}
     for number, fragments in sorted(classes):
         place = (grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         filled[number] = len(starts)
         tag = np.uint64(number) << np.uint64(48)
         out.append(mix(np.add.reduceat(mixed, starts) ^ mix(place[starts] ^ tag)))
-        if len(starts) <= _most_different(n):
+        if len(starts) <= rule.most_different(n):
             prefix = grams[: n - least_partner + 1]
             out.append(mix(mix(prefix ^ tag) + _STEP))
-    return np.concatenate(out), filled[own], max(1, min(filled.values()) - _most_different(n))
+    return np.concatenate(out), filled[own], max(1, min(filled.values()) - rule.most_different(n))
 
 
 def set_name(grams: np.ndarray) -> int:
@@ -167,17 +194,17 @@ def set_name(grams: np.ndarray) -> int:
     return int(mix(np.array([np.sum(mix(grams + _STEP)) + np.uint64(len(grams))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, rule: Rule = RULE) -> bool:
     """Whether two sets at hand link, counted by fragment as `verify` counts stored ones."""
     if not len(a) or not len(b):
         return False
-    need = -(-LEAST_PCT * (len(a) + len(b)) // (100 + LEAST_PCT))  # 100 i >= 85 (a + b - i)
+    need = -(-rule.percent * (len(a) + len(b)) // rule.whole)  # 100 i >= percent (a + b - i)
     edges = np.arange(1, 1 << PART_BITS, dtype=np.uint64) << np.uint64(64 - PART_BITS)
     parts = zip(np.split(a, np.searchsorted(a, edges)), np.split(b, np.searchsorted(b, edges)), strict=True)
     return sum(len(np.intersect1d(x, y, assume_unique=True)) for x, y in parts) >= need
 
 
-def _sets(slim: DataFrame) -> DataFrame:
+def _sets(slim: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, row, key, n_shingles, filled, needed, node and signatures of every row, stored."""
     kind = slim.schema["doc_id"].dataType
     numbers = ("row", "key", "n_shingles", "filled", "needed", "node")
@@ -186,8 +213,8 @@ def _sets(slim: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, filled, needed, names, sigs = [], [], [], [], []
-            for grams in shingle_sets(batch.column("text")):
-                made, own, least = signatures(grams)
+            for grams in shingle_sets(batch.column("text"), rule.words):
+                made, own, least = signatures(grams, rule)
                 sizes.append(len(grams))
                 filled.append(own)
                 needed.append(least)
@@ -204,7 +231,7 @@ def _sets(slim: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(run, f"doc_id {kind.simpleString()}, {', '.join(f'{c} bigint' for c in numbers)}, sigs array<bigint>"), "ngram-sets")
 
 
-def _fragments(slim: DataFrame, wanted: DataFrame) -> DataFrame:
+def _fragments(slim: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """(node, part, grams) of the wanted (node, key) rows, a stored table, stored.
 
     The key only finds the texts; the name of a set is made again and must be the node's.
@@ -213,7 +240,7 @@ def _fragments(slim: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, parts, lists = [], [], []
-            for node, grams in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+            for node, grams in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), rule.words), strict=True):
                 if not len(grams) or set_name(grams) != node:
                     continue
                 place = grams >> np.uint64(64 - PART_BITS)
@@ -236,7 +263,7 @@ def _key_of(nodes: DataFrame, facts: DataFrame) -> DataFrame:
     return stored(nodes.distinct().join(facts.select("node", "key"), "node"), "ngram-wanted")
 
 
-def verify(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, fragments: DataFrame, rule: Rule = RULE) -> DataFrame:
     """The (a, b) pairs that link: overlaps by fragment, summed for each pair.
 
     `pairs` has a, b and the sizes n_a and n_b.
@@ -245,7 +272,7 @@ def verify(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     two = fragments.select(F.col("node").alias("b"), "part", F.col("grams").alias("grams_b"))
     partial = pairs.join(one, "a").join(two, ["b", "part"]).select("a", "b", "n_a", "n_b", "part", F.size(F.array_intersect("grams_a", "grams_b")).alias("here"))
     summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("here").alias("both"))
-    return stored(summed.where(100 * F.col("both") >= LEAST_PCT * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), "ngram-links")
+    return stored(summed.where(100 * F.col("both") >= rule.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), "ngram-links")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -268,36 +295,40 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs whose sizes and numbers of shared signatures allow a link, with their sizes.
-
-    With sizes x and y a link has at most x + y - 2 * ceil(85 (x + y) / 185) n-grams in
-    one set only; each spoils at most one filled fragment of the smaller set's class.
-    """
+    """The pairs with their sizes, filled fragments and the number of signatures they share."""
     columns = ("n", "filled", "sigs")
     one = held.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
     two = held.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    shared = F.size(F.array_intersect("sigs_a", "sigs_b")).alias("shared")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "filled_a", "filled_b", shared)
+
+
+def _allowed(rule: Rule) -> Column:
+    """Whether the numbers of `_possible` allow a link.
+
+    With sizes x and y a link at p percent has at most x + y - 2 * ceil(p (x + y) / (100 + p))
+    n-grams in one set only; each spoils at most one filled fragment of the smaller set's class.
+    """
     x, y = F.col("n_a"), F.col("n_b")
-    both = x + y
-    different = both - 2 * F.ceil(LEAST_PCT * both / F.lit(100 + LEAST_PCT))
+    different = x + y - 2 * F.ceil(rule.percent * (x + y) / F.lit(rule.whole))
     filled = F.when(x <= y, F.col("filled_a")).otherwise(F.col("filled_b"))
-    joined = pairs.join(one, "a").join(two, "b").where(100 * F.least(x, y) >= LEAST_PCT * F.greatest(x, y))
-    return joined.where(F.size(F.array_intersect("sigs_a", "sigs_b")) >= filled - different).select("a", "b", "n_a", "n_b")
+    return (100 * F.least(x, y) >= rule.percent * F.greatest(x, y)) & (F.col("shared") >= filled - different)
 
 
-def _linked(pairs: DataFrame, held: DataFrame, slim: DataFrame) -> DataFrame | None:
+def _linked(pairs: DataFrame, held: DataFrame, slim: DataFrame, rule: Rule) -> DataFrame | None:
     """Those of the candidate pairs that link, or None if none can."""
-    possible = stored(_possible(pairs, held), "ngram-possible")
+    possible = stored(_possible(pairs, held).where(_allowed(rule)).select("a", "b", "n_a", "n_b"), "ngram-possible")
     if possible.isEmpty():
         return None
     wanted = _key_of(possible.select(F.col("a").alias("node")).union(possible.select("b")), held)
-    return verify(possible, _fragments(slim, wanted))
+    return verify(possible, _fragments(slim, wanted, rule), rule)
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, linked by `rule`."""
     ship_package(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    sets = _sets(slim)
+    sets = _sets(slim, rule)
     least = [F.min(c).alias(c) for c in ("row", "key", "filled", "needed")]
     named = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n_shingles").alias("n"), *least)
     nodes = stored(named, "ngram-nodes")
@@ -312,7 +343,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rarest = F.slice("ranked.sig", F.lit(1), (F.size("ranked") - F.col("needed") + 1).cast("int"))
     enough = grouped.join(nodes, "node").where(F.size("ranked") >= F.col("needed"))
     held = stored(enough.select("node", "key", "n", "filled", F.col("ranked.sig").alias("sigs"), rarest.alias("rarest")), "ngram-held")
-    labels = _link(slim, held)
+    labels = _link(slim, held, rule)
 
     placed = stored(nodes.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "ngram-placed")
     ends = placed.groupBy("component").agg(F.min("first").alias("end"))
@@ -320,16 +351,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return sets.join(ended, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("end")).alias("component_id"))
 
 
-def _link(slim: DataFrame, held: DataFrame) -> DataFrame:
+def _link(slim: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
     """Labels of the held sets: pivots of the groups first, then what pivots left apart."""
     members = stored(held.select("node", "n", F.explode("rarest").alias("sig")), "ngram-members")
     least = F.min(F.struct("node", "n")).alias("p")
     pivots = stored(members.groupBy("sig").agg(least, F.count("*").alias("k")).where("k > 1").select("sig", F.col("p.node").alias("pivot"), F.col("p.n").alias("size")), "ngram-pivots")
-    fits = 100 * F.least("n", "size") >= LEAST_PCT * F.greatest("n", "size")
+    fits = 100 * F.least("n", "size") >= rule.percent * F.greatest("n", "size")
     met = members.join(pivots, "sig").where((F.col("node") != F.col("pivot")) & fits)
     pairs = stored(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "ngram-pairs")
     names = held.select("node")
-    links = _linked(pairs, held, slim)
+    links = _linked(pairs, held, slim, rule)
     labels = stored(names.select("node", F.col("node").alias("component")), "ngram-labels") if links is None else components(names, links)
 
     placed = members.join(labels, "node")
@@ -337,25 +368,25 @@ def _link(slim: DataFrame, held: DataFrame) -> DataFrame:
     groups = stored(placed.join(several, "sig").join(pivots, "sig").select("pivot", "node").distinct(), "ngram-groups")
     if groups.isEmpty():
         return labels
-    near, differences = _differences(groups, slim, held)
+    near, differences = _differences(groups, slim, held, rule)
     if not near.isEmpty():
         links = near if links is None else links.unionByName(near)
         labels = components(names, links)
-    pairs = stored(_apart(differences, labels).join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
-    found = _linked(pairs, held, slim)
+    pairs = stored(_apart(differences, labels, rule).join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
+    found = _linked(pairs, held, slim, rule)
     if found is None or found.isEmpty():
         return labels
     return components(names, found if links is None else links.unionByName(found))
 
 
-def _differences(groups: DataFrame, slim: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _differences(groups: DataFrame, slim: DataFrame, held: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Links that the bases of the groups prove, and the members as differences to the base.
 
-    The weight of a member is DIFFERENT * |difference| - ALIKE * |set|. As the difference of
+    The weight of a member is whole * |difference| - alike * |set|, with the rule's numbers. As the difference of
     two members is at most the sum of theirs, weights whose sum is not positive prove a link.
     The centre of a group is its member of least weight.
     """
-    fragments = _fragments(slim, _key_of(groups.select("node"), held))
+    fragments = _fragments(slim, _key_of(groups.select("node"), held), rule)
     sets = fragments.groupBy("node").agg(F.flatten(F.collect_list("grams")).alias("grams"))
     rows = stored(groups.join(stored(sets, "ngram-whole"), "node"), "ngram-grouped")
     sizes = groups.groupBy("pivot").agg(F.count("*").alias("k"))
@@ -364,18 +395,18 @@ def _differences(groups: DataFrame, slim: DataFrame, held: DataFrame) -> tuple[D
     bases = often.join(stored(sizes, "ngram-sizes"), "pivot").where("2 * c > k").groupBy("pivot").agg(F.collect_list("gram").alias("base"))
     based = rows.join(stored(bases, "ngram-bases"), "pivot", "left").withColumn("base", F.coalesce("base", F.array().cast("array<bigint>")))
     apart = based.select("pivot", "node", F.size("grams").alias("n"), F.concat(F.array_except("grams", "base"), F.array_except("base", "grams")).alias("grams"))
-    weighed = stored(apart.withColumn("weight", F.lit(DIFFERENT) * F.size("grams") - F.lit(ALIKE) * F.col("n")), "ngram-differences")
+    weighed = stored(apart.withColumn("weight", F.lit(rule.whole) * F.size("grams") - F.lit(rule.alike) * F.col("n")), "ngram-differences")
     centres = weighed.groupBy("pivot").agg(F.min(F.struct("weight", "node")).alias("c")).select("pivot", F.col("c.node").alias("centre"), F.col("c.weight").alias("least"))
     whole = stored(weighed.join(stored(centres, "ngram-centres"), "pivot"), "ngram-weighed")
     near = whole.where("node <> centre AND weight + least <= 0").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     return stored(near.distinct(), "ngram-near"), whole
 
 
-def _apart(differences: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(differences: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of different components whose differences to their base share enough.
 
     Two members that link but not through the centre share at least (sum of their weights) /
-    (2 * DIFFERENT) n-grams of their differences. The partner of a member weighs at least
+    (2 * whole) n-grams of their differences. The partner of a member weighs at least
     as much as the centre, or as the least outside if the member is of the centre's component.
     """
     own = labels.withColumnsRenamed({"node": "centre", "component": "central"})
@@ -383,20 +414,20 @@ def _apart(differences: DataFrame, labels: DataFrame) -> DataFrame:
     outer = placed.where("component <> central").groupBy("pivot").agg(F.min("weight").alias("outer"))
     open_rows = placed.join(stored(outer, "ngram-outer"), "pivot")
     partner = F.when(F.col("component") == F.col("central"), F.col("outer")).otherwise(F.col("least"))
-    largest = F.floor(F.lit(100) * F.col("n") / F.lit(LEAST_PCT))
-    shares = F.greatest(F.lit(1), F.ceil((F.col("weight") + partner) / F.lit(2 * DIFFERENT)), F.ceil((F.col("weight") - ALIKE * largest) / F.lit(DIFFERENT)))
+    largest = F.floor(F.lit(100) * F.col("n") / F.lit(rule.percent))
+    shares = F.greatest(F.lit(1), F.ceil((F.col("weight") + partner) / F.lit(2 * rule.whole)), F.ceil((F.col("weight") - rule.alike * largest) / F.lit(rule.whole)))
     open_rows = open_rows.select("pivot", "node", "n", "component", "grams", shares.alias("shares")).where(F.size("grams") >= F.col("shares"))
     open_rows = stored(open_rows, "ngram-open")
     grams = open_rows.select("pivot", "node", F.explode("grams").alias("gram"))
     common = stored(grams.groupBy("pivot", "gram").agg(F.count("*").alias("c")).where("c > 1"), "ngram-common")
     ranked = grams.join(common, ["pivot", "gram"]).groupBy("pivot", "node").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("ranked"))
     facts = open_rows.join(ranked, ["pivot", "node"]).withColumn("v", F.size("ranked")).withColumn("u", F.size("grams") - F.col("v")).where("v >= shares")
-    facts = facts.withColumn("light", 2 * DIFFERENT * F.col("u") <= ALIKE * (F.col("n") + F.floor(F.lit(100) * F.col("n") / F.lit(LEAST_PCT))))
+    facts = facts.withColumn("light", 2 * rule.whole * F.col("u") <= rule.alike * (F.col("n") + F.floor(F.lit(100) * F.col("n") / F.lit(rule.percent))))
     prefix = F.slice("ranked.gram", F.lit(1), (F.col("v") - F.col("shares") + 1).cast("int"))
     rows = stored(facts.select("pivot", "node", "n", "component", "v", "u", "light", F.explode(prefix).alias("gram")), "ngram-prefixes")
     light = rows.where("light").drop("light")
     other = rows.select("pivot", "gram", "light", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "v", "u")])
     spoiled = F.col("u") + F.col("u_b") + F.abs(F.col("v") - F.col("v_b"))
-    fits = (F.col("component") != F.col("component_b")) & (DIFFERENT * spoiled <= ALIKE * (F.col("n") + F.col("n_b"))) & (~F.col("light") | (F.col("node") < F.col("node_b")))
+    fits = (F.col("component") != F.col("component_b")) & (rule.whole * spoiled <= rule.alike * (F.col("n") + F.col("n_b"))) & (~F.col("light") | (F.col("node") < F.col("node_b")))
     met = light.join(other, ["pivot", "gram"]).where(fits)
     return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()

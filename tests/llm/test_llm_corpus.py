@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -169,6 +170,61 @@ def test_ngram_join_of_a_group_below_the_threshold(spark, monkeypatch):
         pytest.xfail(f"aim not met: {sum(compared)} of 179700 pairs are compared, more than a quarter")
 
 
+@pytest.mark.parametrize("rule", [ngram_join.Rule(5, 80), ngram_join.Rule(2, 55), ngram_join.Rule(1, 100)], ids=str)
+def test_ngram_join_by_other_rules(spark, corpus, rule):
+    """Words of an n-gram and the least similarity are parameters; groups around a base included."""
+    rng = random.Random(16)
+    base = words(rng, 180, 900)
+    edited = []
+    for k in range(60):
+        copy = list(base)
+        for place in rng.sample(range(180), 1 + k % 5):
+            copy[place] = f"e{rng.randrange(10**6)}"
+        edited.append(" ".join(copy))
+    texts = [*corpus, *edited]
+    sets = {}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(w[k : k + rule.words]) for k in range(max(1, len(w) - rule.words + 1))} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(sets, 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= rule.percent * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    rows = ngram_join.join(frame(spark, texts), rule=rule).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("words_, percent", [(0, 85), (4, 0), (4, 101)])
+def test_rules_that_mean_nothing(words_, percent):
+    with pytest.raises(ValueError, match="no rule"):
+        ngram_join.Rule(words_, percent)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 93])
+def test_linked_sets_share_signatures_by_other_rules(percent):
+    rule, rng = ngram_join.Rule(5, percent), np.random.default_rng(9)
+    for n in [1, 2, 4, 5, 9, 10, 21, 60, 150]:
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            gone, new = rng.integers(0, len(a) * (100 - percent) // 100 + 1, 2)
+            b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64))))
+            both = len(np.intersect1d(a, b))
+            link = len(b) > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+            assert ngram_join.linked(a, b, rule) == link
+            if link:
+                (sa, fa, na), (sb, fb, nb) = ngram_join.signatures(a, rule), ngram_join.signatures(b, rule)
+                shared, different = len(np.intersect1d(sa, sb)), len(a) + len(b) - 2 * both
+                assert shared >= max(1, (fa if len(a) <= len(b) else fb) - different, na if len(a) >= len(b) else nb)
+
+
 def test_linked_sets_share_signatures():
     rng = np.random.default_rng(5)
     for n in [1, 2, 3, 5, 6, 7, 8, 11, 12, 17, 30, 64, 200]:
