@@ -24,9 +24,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(docs, "doc_id", dropped, "doc_id")
 
 
+#: Near duplicates share 80 % of their five-word shingles, as near-duplicate stages do by default;
+#: the four words and 85 % of the query of the same operator are that query's contract.
+NEAR = ngram_join.Rule(words=5, percent=80)
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links connect, the row with the smallest id."""
-    joined = ngram_join.join(docs).where("doc_id <> component_id")
+    joined = ngram_join.join(docs, rule=NEAR).where("doc_id <> component_id")
     return without(docs, "doc_id", stored(joined.select("doc_id"), "pipeline-near"), "doc_id")
 
 
