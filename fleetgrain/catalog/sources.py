@@ -11,6 +11,7 @@ from fleetgrain.functions.times import clock_text
 from fleetgrain.session import shared_dir
 from fleetgrain.sources.feeds import read_delimited
 from fleetgrain.sources.loads import read_published
+from fleetgrain.sources.merge import merge_into, read_merged
 from fleetgrain.sources.timetable import append_feed_tables, new_feed_versions, read_gtfs
 
 R = Registry()
@@ -94,3 +95,20 @@ R.add(
     "S05_new_feed_versions", "content_hash:s, source:s", _versions,
     "SELECT sha256(text) AS content_hash, min(CAST(doc_id AS VARCHAR)) AS source FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en') GROUP BY 1",
 )
+
+
+def _merged(v):
+    """Orders as first load, their shipments as an update that wins where it is newer."""
+    folder = shared_dir(v.spark, "merged")
+    orders = v.orders.select("o_orderkey", c("o_orderdate").cast("date").alias("day"), c("o_custkey").cast("long").alias("amount"))
+    shipped = v.lineitem.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").cast("date").alias("day"), F.count("*").alias("amount"))
+    for updates in (orders, shipped):
+        merge_into(v.spark, folder, updates, ["o_orderkey"], c("day"), buckets=16)
+    return read_merged(v.spark, folder).withColumn("day", c("day").cast("string"))
+
+
+R.add(
+    "S07_merge_into", "o_orderkey:i, day:s, amount:i", _merged,
+    """SELECT coalesce(o.o_orderkey, s.k) AS o_orderkey, CAST(CASE WHEN o.day IS NULL OR s.day > o.day THEN s.day ELSE o.day END AS VARCHAR) AS day, CASE WHEN o.day IS NULL OR s.day > o.day THEN s.n ELSE o.c END AS amount
+FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_custkey AS c FROM orders) o FULL JOIN (SELECT l_orderkey AS k, CAST(min(l_shipdate) AS DATE) AS day, count(*) AS n FROM lineitem GROUP BY 1) s ON o.o_orderkey = s.k""",
+)
