@@ -361,3 +361,16 @@ def test_pipeline(spark, corpus, tmp_path):
     assert set(tables["ngram_join"]) == {i for k, i in enumerate(ids) if components[k][1] == k}
     assert set(tables["secret_scan"]) == set(tables["ngram_join"]) == set(tables["packing"])
     assert "[SECRET]" in tables["secret_scan"][n + 14].text and tables["secret_scan"][n].text == texts[n]
+
+
+def test_the_near_stage_takes_five_words_and_eighty_percent(spark):
+    base = words(random.Random(21), 140, 9000)
+    near = [*base[:30], "one", *base[31:70], "two", *base[71:110], "three", *base[111:]]
+    far = [*near[:50], "four", *near[51:]]
+    grams = [{tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for n in (5, 4) for w in (base, near, far)]
+    share = lambda a, b: 100 * len(a & b) / len(a | b)
+    assert share(grams[0], grams[1]) >= 80 > share(grams[0], grams[2]) and share(grams[3], grams[4]) < 85
+    docs = frame(spark, [" ".join(base), " ".join(near)])
+    assert [r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()] == [0]
+    docs = frame(spark, [" ".join(base), " ".join(far)])
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == [0, 1]
