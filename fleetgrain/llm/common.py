@@ -7,14 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgrain.session import shared_dir, ship_package
+from fleetgrain.session import BROADCAST_BYTES, shared_dir, ship_package, small_side
 
 __all__ = ["BROADCAST_BYTES", "let", "ship_package", "small_side", "stored", "table", "vocabulary", "without", "words_of"]
 
-#: Side of a join that may be sent to all executors, in bytes; larger ones are shuffled.
-BROADCAST_BYTES = 16 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -37,16 +33,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """`df` with a broadcast hint if its counted rows stay below `BROADCAST_BYTES`.
-
-    `df` must be a stored table, as its rows are counted first. Beyond the bound
-    the join is an ordinary shuffled one, which AQE splits at hot keys.
-    """
-    rows = df.count()
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df.hint("merge")
-
-
 def without(df: DataFrame, id_col: str, dropped: DataFrame, dropped_col: str) -> DataFrame:
     """`df` without the rows whose id `dropped`, a stored table, lists; rows without id stay."""
     return df.join(small_side(dropped.select(F.col(dropped_col).alias("__dropped")), 16), df[id_col] == F.col("__dropped"), "left_anti")
