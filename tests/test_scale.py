@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 from datetime import date
 
 from pyspark.sql import functions as F
 
-from fleetgrain.operators import metrics, samples, timetable
+from fleetgrain.operators import metrics, samples, shapes, timetable
 from fleetgrain.session import materialize
 
 
@@ -62,3 +63,36 @@ def test_planned_means_shuffle_the_runs_once(spark):
     assert exchanges(means) == 2
     totals = {r["scope"]: r["n"] for r in means.groupBy("scope").agg(F.sum("trip_count").alias("n")).collect()}
     assert totals == {"physical": 200, "service": 200}
+
+
+def test_points_meet_shapes_without_an_exploded_side(spark):
+    points = spark.range(2000).select(
+        F.lit("F").alias("feed_id"), F.concat(F.lit("H"), (F.col("id") % 20).cast("string")).alias("shape_id"), F.floor(F.col("id") / 20).cast("int").alias("sequence"),
+        (-15.8 + 0.0006 * F.floor(F.col("id") / 20)).alias("latitude"), (-47.9 + 0.0004 * (F.floor(F.col("id") / 20) % 7)).alias("longitude"))
+    pings = spark.range(400).select(
+        "id", F.lit("F").alias("feed_id"), F.concat(F.lit("H"), (F.col("id") % 22).cast("string")).alias("shape_id"),
+        (-15.81 + 0.0002 * F.col("id")).alias("latitude"), F.when(F.col("id") % 40 > 0, -47.9 + 0.0001 * (F.col("id") % 60)).alias("longitude"))
+    segments = materialize(shapes.shape_segments(points))
+    near = shapes.nearby_segments(pings, segments, ["id"])
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    # every segment of the shape, in plain code
+    by_shape: dict = {}
+    for s in segments.collect():
+        by_shape.setdefault(s["shape_id"], []).append(s)
+
+    def planar(p, s):
+        dx, dy = s["end_lon"] - s["start_lon"], s["end_lat"] - s["start_lat"]
+        t = max(0.0, min(1.0, ((p["longitude"] - s["start_lon"]) * dx + (p["latitude"] - s["start_lat"]) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(s["start_lon"] + t * dx - p["longitude"], s["start_lat"] + t * dy - p["latitude"])
+
+    whole = [p for p in pings.collect() if p["longitude"] is not None and p["shape_id"] in by_shape]
+    want = {p["id"]: min(planar(p, s) for s in by_shape[p["shape_id"]]) for p in whole}
+    got = {r["id"]: r["nearest"]["planar_distance"] for r in shapes.nearest_segment(pings, segments, ["id"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert max(want.values()) > shapes.BOX_DEGREES
+    rows = near.collect()
+    assert {r["id"] for r in rows} == set(range(400))
+    union = {(r["id"], r["candidate"]["segment_sequence"]) for r in shapes.candidate_union(pings, segments, ["id"]).collect()}
+    assert {(r["id"], r["candidate"]["segment_sequence"]) for r in rows if r["candidate"] is not None} <= union
+    assert {i for i, _ in union} == want.keys()
