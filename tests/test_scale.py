@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import re
 from datetime import date
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+from fleetgrain.catalog import streams
 from fleetgrain.operators import metrics, samples, shapes, timetable
 from fleetgrain.session import materialize
 
@@ -96,3 +98,31 @@ def test_points_meet_shapes_without_an_exploded_side(spark):
     union = {(r["id"], r["candidate"]["segment_sequence"]) for r in shapes.candidate_union(pings, segments, ["id"]).collect()}
     assert {(r["id"], r["candidate"]["segment_sequence"]) for r in rows if r["candidate"] is not None} <= union
     assert {i for i, _ in union} == want.keys()
+
+
+def test_files_of_a_replay_follow_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    view = SimpleNamespace(spark=spark)
+    stream = streams.replay(view, spark.range(2000), files=2)
+    out = streams.drain(view, stream.select("id", F.col("_metadata.file_path").alias("file")))
+    per_file = [r["count"] for r in out.groupBy("file").count().collect()]
+    assert sum(per_file) == 2000 and out.select("id").distinct().count() == 2000
+    assert len(per_file) == 20 and max(per_file) <= 110
+
+
+def test_points_of_lines_are_not_shuffled_by_trip(spark):
+    named = {"feed_id": F.lit("F"), "shape_id": F.lit("H")}
+    trips = spark.range(3).select(F.col("id").alias("trip_id"), F.lit("R").alias("route_id"), F.lit(0).alias("direction_id"), *[v.alias(k) for k, v in named.items()])
+    feeds = spark.sql("SELECT 'F' AS feed_id, TIMESTAMP '2024-01-01 00:00:00' AS retrieved_at")
+    routes = spark.sql("SELECT 'F' AS feed_id, 'R' AS route_id, 'r' AS short_name")
+    points = spark.range(4).select(F.col("id").cast("int").alias("sequence"), F.col("id").cast("double").alias("latitude"), F.col("id").cast("double").alias("longitude"), *[v.alias(k) for k, v in named.items()])
+    stops = spark.sql("SELECT 'F' AS feed_id, 'S' AS stop_id, 'Stop' AS name, 0D AS latitude, 0D AS longitude")
+    stop_times = spark.range(2).select(
+        F.lit("F").alias("feed_id"), F.col("id").alias("trip_id"), F.lit(1).alias("stop_sequence"), F.lit("S").alias("stop_id"), F.lit(0.0).alias("shape_progress_m"),
+        F.lit(1).alias("arrival_seconds"), F.lit(2).alias("departure_seconds"), F.lit("valid").alias("quality"))
+    found = timetable.trip_geometry(trips, routes, feeds, shapes.assemble_lines(points), stop_times, stops)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "points" not in next(line for line in plan.splitlines() if "max_by" in line)
+    rows = {r["trip_id"]: r for r in found.collect()}
+    assert {k: len(r["points"]) for k, r in rows.items()} == {0: 4, 1: 4, 2: 4}
+    assert rows[2]["stops"] is None and len(rows[0]["stops"]) == 1
