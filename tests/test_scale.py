@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetgrain.catalog import streams
 from fleetgrain.operators import metrics, samples, shapes, timetable
+from fleetgrain.plans import jobs
 from fleetgrain.session import materialize
 
 
@@ -100,6 +101,39 @@ def test_points_meet_shapes_without_an_exploded_side(spark):
     assert {i for i, _ in union} == want.keys()
 
 
+def test_stored_segments_are_packed_in_one_shuffle(spark):
+    points = spark.range(600).select(
+        F.lit("F").alias("feed_id"), F.concat(F.lit("H"), (F.col("id") % 3).cast("string")).alias("shape_id"), F.floor(F.col("id") / 3).cast("int").alias("sequence"),
+        (-15.8 + 0.0006 * F.floor(F.col("id") / 3)).alias("latitude"), (-47.9 + 0.0004 * (F.floor(F.col("id") / 3) % 7)).alias("longitude"))
+    segments = materialize(shapes.shape_segments(points))
+    packed = shapes.packed_shapes(segments)
+    assert exchanges(packed) == 1
+    got = {r["shape_id"]: r["runs"] for r in packed.collect()}
+    for shape, rows in {s: [r for r in segments.collect() if r["shape_id"] == s] for s in got}.items():
+        assert sorted(r["segment_sequence"] for r in rows) == [s["segment_sequence"] for run in got[shape] for s in run["segments"]]
+        for run in got[shape]:
+            assert 0 < len(run["segments"]) <= shapes.CHUNK
+            assert run["west"] == min(min(s["start_lon"], s["end_lon"]) for s in run["segments"])
+            assert run["north"] == max(max(s["start_lat"], s["end_lat"]) for s in run["segments"])
+    assert got.keys() == {"H0", "H1", "H2"}
+
+
+def test_replayed_rows_are_dealt_by_hour_once(spark):
+    at = F.timestamp_seconds(1704340800 + F.col("id") * 40)
+    pings = spark.range(400).select(
+        F.concat(F.lit("V"), (F.col("id") % 3).cast("string")).alias("vehicle_prefix"), F.col("id").cast("int").alias("pos"), at.alias("received_at"), at.alias("source_timestamp"),
+        F.lit(-15.8).alias("latitude"), F.lit(-47.9).alias("longitude"), (F.col("id") % 4).cast("double").alias("speed_kmh"),
+        F.lit("7").alias("current_line"), F.lit("0").alias("current_direction"), F.lit("10:30").alias("current_planned_time"))
+    active = spark.sql("SELECT 'F' AS feed_id, 1L AS trip_id, 'R' AS route_id, 'H' AS shape_id, '7' AS line, '0' AS direction, '10:30' AS planned_time")
+    windows = jobs.correlated_windows(pings, active)
+    # by hour for the windows, low speed and sessions: three rows of their own made it 16
+    assert exchanges(windows) <= 8
+    rows = windows.orderBy("event_at").collect()
+    assert len(rows) == 400 and {r["trip_id"] for r in rows} == {1} and "_chunk" not in windows.columns
+    # 120 s between the pings of a vehicle: one run each, low where the speed is below 1
+    assert {r["session_id"] for r in rows} == {1} and sum(r["low_speed_since"] is not None for r in rows) == 100
+
+
 def test_files_of_a_replay_follow_its_rows(spark, monkeypatch):
     monkeypatch.setattr(streams, "FILE_ROWS", 100)
     view = SimpleNamespace(spark=spark)
