@@ -10,6 +10,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from fleetgrain.catalog import streams
+from fleetgrain.functions.text import normalize_line
 from fleetgrain.operators import metrics, samples, shapes, timetable
 from fleetgrain.plans import jobs
 from fleetgrain.session import materialize
@@ -124,7 +125,7 @@ def test_replayed_rows_are_dealt_by_hour_once(spark):
         F.concat(F.lit("V"), (F.col("id") % 3).cast("string")).alias("vehicle_prefix"), F.col("id").cast("int").alias("pos"), at.alias("received_at"), at.alias("source_timestamp"),
         F.lit(-15.8).alias("latitude"), F.lit(-47.9).alias("longitude"), (F.col("id") % 4).cast("double").alias("speed_kmh"),
         F.lit("7").alias("current_line"), F.lit("0").alias("current_direction"), F.lit("10:30").alias("current_planned_time"))
-    active = spark.sql("SELECT 'F' AS feed_id, 1L AS trip_id, 'R' AS route_id, 'H' AS shape_id, '7' AS line, '0' AS direction, '10:30' AS planned_time")
+    active = spark.sql("SELECT 'F' AS feed_id, 1L AS trip_id, 'R' AS route_id, 'H' AS shape_id, '0' AS direction, '10:30:00' AS planned_time").withColumn("line", normalize_line(F.lit("7")))
     windows = jobs.correlated_windows(pings, active)
     # by hour for the windows, low speed and sessions: three rows of their own made it 16
     assert exchanges(windows) <= 8
