@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import pytest
 
-from fleetgrain.operators.swaps import assign_per_terminal, exchange_cycles, solve_block
+from fleetgrain.operators.swaps import assign_per_terminal, assignments, exchange_cycles, solve_block
 
 
 def _cost(vehicles, arrivals, departures, chosen):
@@ -61,3 +62,13 @@ def test_three_vehicles_rotate(spark):
     cycles = exchange_cycles(plan).orderBy("position").collect()
     assert [r["vehicle_prefix"] for r in cycles] == ["A", "B", "C"]
     assert {r["group_id"] for r in cycles} == {"T-G01"}
+
+
+def test_no_task_sorts_for_many_steps_at_once(spark):
+    rows = spark.range(400).selectExpr(
+        "concat('V', id) AS vehicle_prefix", "concat('T', id % 40) AS terminal_id", "timestamp_seconds(1767225600 + id % 97 * 60 - 1200) AS arrival_at",
+        "timestamp_seconds(1767225600 + id * 7 % 83 * 60) AS departure_at", "0.9D AS eta_reliability")
+    plan = assignments(rows, "2026-01-01 00:00:00")
+    assert len(re.findall(r"\bSort \[", plan._jdf.queryExecution().sparkPlan().toString() + plan._jdf.queryExecution().executedPlan().toString())) <= 8
+    got = plan.collect()
+    assert sorted(r["vehicle_prefix"] for r in got) == sorted(r["assigned_prefix"] for r in got)
