@@ -82,6 +82,27 @@ def test_a_key_without_pause_is_folded_by_the_hour(spark):
     assert len(got) == len(rows) and 1 < rounds < rows[-1][2] // 3600
 
 
+def test_hours_that_disturb_each_other_take_few_rounds(spark):
+    rows, at = [], 0
+    # the first hour holds one value; the others accept all three only if the hour before did
+    for i in range(40 * 60):
+        at += 60
+        rows.append((i, "k", at, 60.0 + 20.0 * (i % 3) * (at > 3600), 500.0, "high"))
+    df = spark.createDataFrame(
+        rows, "event_id int, metric_key string, s int, duration_seconds double, distance_m double, confidence string"
+    ).withColumn("completed_at", F.timestamp_seconds("s"))
+    judged, rounds = accept_in_rounds(df)
+    got = {r["event_id"]: (r["accepted"], r["reference_count"]) for r in judged.collect()}
+    kept: list = []
+    for event, _, at, duration, distance, confidence in rows:
+        kept = [(t, d) for t, d in kept if t > at - 3600]
+        want = judge(duration, distance, confidence, [d for _, d in kept])
+        assert got[event] == (want[0], want[3]), (event, got[event], want)
+        if want[0]:
+            kept.append((at, duration))
+    assert len(got) == len(rows) and rounds <= 9
+
+
 def test_window_statistics_golden(spark):
     rows = [(100.0, True), (140.0, True), (900.0, False), (float("nan"), True)]
     df = spark.createDataFrame(rows, "duration_seconds double, accepted boolean").withColumn("weight", F.lit(1.0)).withColumn(
