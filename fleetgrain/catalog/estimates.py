@@ -73,21 +73,21 @@ R.add(
 )
 
 
-def measured(v):
-    """Live and profile metrics.
+def measured(v, at=None):
+    """Live and profile metrics; with `at`, live ones that can still be used then.
 
     Traversals are dealt by stop pair, which both scopes of a metric key hold, before they get
     their keys: one shuffle of short rows serves all three metrics.
     """
     seen = samples.metric_identities(traversed(v).repartition(*timetable.PAIR))
-    live = metrics.live_metrics(seen, samples.KEYED)
+    live = metrics.live_metrics(seen, samples.KEYED, at)
     profiles = metrics.rolling_profile(metrics.daily_metrics(seen, samples.KEYED), DAY, samples.KEYED)
     return live, profiles
 
 
-def catalog(v, requests):
-    live, profiles = measured(v)
-    return materialize(
+def catalog(v, requests, at=None):
+    live, profiles = measured(v, at)
+    return estimates.stored_catalog(
         estimates.estimate_catalog(requests, live, profiles, v.stop_times, v.trips, v.services, v.exceptions, NOW, DAY, DATES))
 
 
@@ -138,7 +138,7 @@ FULL_SQL = f"WITH {OBS_SQL}, {REMAIN_SQL}, {PLANNED_SLOTS}, {RESOLVE_SQL}"
 
 def resolved(v):
     segments = remaining(v)
-    return eta.resolve_remaining(segments, catalog(v, segments), NOW)
+    return eta.resolve_remaining(segments, catalog(v, segments, NOW), NOW)
 
 
 R.add(
@@ -187,7 +187,7 @@ R.add(
 
 def future(v):
     segments = remaining(v)
-    return eta.eta_future_time(eta.reachable_candidates(segments, catalog(v, segments), NOW))
+    return eta.eta_future_time(eta.reachable_candidates(segments, catalog(v, segments, NOW), NOW))
 
 
 R.add("E06_eta_future_time", ETA_OUT, future)
@@ -200,7 +200,7 @@ R.add(
 
 def nested(v):
     segments = remaining(v)
-    return eta.vehicle_eta(current(v), v.stop_times, catalog(v, segments), NOW, segments)
+    return eta.vehicle_eta(current(v), v.stop_times, catalog(v, segments, NOW), NOW, segments)
 
 
 R.add(

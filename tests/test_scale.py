@@ -9,9 +9,9 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from fleetgrain.catalog import streams
+from fleetgrain.catalog import streams, views
 from fleetgrain.functions.text import normalize_line
-from fleetgrain.operators import metrics, samples, shapes, timetable
+from fleetgrain.operators import estimates, metrics, samples, shapes, timetable
 from fleetgrain.plans import jobs
 from fleetgrain.session import materialize
 
@@ -161,3 +161,43 @@ def test_points_of_lines_are_not_shuffled_by_trip(spark):
     rows = {r["trip_id"]: r for r in found.collect()}
     assert {k: len(r["points"]) for k, r in rows.items()} == {0: 4, 1: 4, 2: 4}
     assert rows[2]["stops"] is None and len(rows[0]["stops"]) == 1
+
+
+def test_views_shuffle_only_columns_that_their_rows_show(spark, tmp_path):
+    # two of each pair of lines differ only in price and date, which no row of the views shows
+    lines = spark.range(400).select(
+        F.floor(F.col("id") / 8).alias("l_orderkey"), (F.col("id") % 5).alias("l_partkey"), (F.col("id") % 2).alias("l_suppkey"), (F.col("id") % 4).cast("int").alias("l_linenumber"),
+        (F.col("id") * 37 % 101).cast("double").alias("l_extendedprice"), F.timestamp_seconds(F.col("id") * 7919 % 1009).alias("l_shipdate"))
+    lines.unionByName(lines.withColumn("l_extendedprice", -F.col("l_extendedprice"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(50).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    v = views.Views(spark, str(tmp_path))
+    for name in ("stop_times", "shape_points"):
+        present = {t: v.table(t) for t in ("lineitem", "orders") if t in views.VIEWS[name]}
+        whole = v.sql(views._fill(views.VIEWS[name], views._SPARK), **present)
+        short = getattr(v, name)
+        assert sorted(map(str, short.collect())) == sorted(map(str, whole.collect()))
+        assert "l_extendedprice" not in short._jdf.queryExecution().executedPlan().toString()
+
+
+def test_live_metrics_that_are_too_old_are_not_built(spark):
+    seen = samples.metric_identities(traversals(spark))
+    at = "2024-01-31 06:00:00"
+    usable = "window_end >= TIMESTAMP '2024-01-31 05:00:00'"
+    young, every = metrics.live_metrics(seen, samples.KEYED, at), materialize(metrics.live_metrics(seen, samples.KEYED))
+    order = ["metric_key"]
+    expected = every.where(usable).orderBy(*order).collect()
+    assert 0 < len(expected) < every.count()
+    assert young.orderBy(*order).select(*every.columns).collect() == expected
+
+
+def test_stored_catalog_holds_keys_in_runs(spark):
+    rows = spark.range(3000).select(F.sha2((F.col("id") * 7 % 50).cast("string"), 256).alias("metric_key"), F.col("id").alias("value_seconds")).repartition(3)
+    stored = estimates.stored_catalog(rows)
+    assert stored.count() == 3000
+    for name in stored.inputFiles():
+        keys = [r["metric_key"] for r in spark.read.parquet(name).collect()]
+        assert keys == sorted(keys)
+
+
+def test_shuffled_partitions_stay_small_enough_to_sort(spark):
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
