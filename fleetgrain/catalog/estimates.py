@@ -158,7 +158,7 @@ def asked_pairs(v):
 
 R.add(
     "E02_segment_estimates", "scope:s, origin_stop_id:s, destination_stop_id:s, route_id:s, source:s, value_seconds:f, reliability:f, sample_count:i, historical_offset_minutes:i",
-    lambda v: estimates.segment_estimates(asked_pairs(v), *measured(v), v.stop_times, v.trips, v.services, v.exceptions, NOW, DAY, ["2024-01-30", "2024-01-31"]),
+    lambda v: estimates.segment_estimates(asked_pairs(v), *measured(v, NOW), v.stop_times, v.trips, v.services, v.exceptions, NOW, DAY, ["2024-01-30", "2024-01-31"]),
     f"""WITH {OBS_SQL}, {NEXT_SQL}, {days_sql(['2024-01-30', '2024-01-31'])}, {OFFSETS},
 w0 AS (SELECT *, TIMESTAMP '{NOW}' - INTERVAL 3 HOUR + to_minutes(mins) AS w FROM off), slots AS (SELECT rank, mins, hour(w) * 12 + minute(w) // 5 AS slot, CASE isodow(w) WHEN 6 THEN 'saturday' WHEN 7 THEN 'sunday' ELSE 'weekday' END AS dt FROM w0),
 win AS (SELECT rank, CAST(w AS DATE) AS sd, hour(w) * 3600 + minute(w) // 5 * 300 AS s0 FROM w0 UNION ALL SELECT rank, CAST(w AS DATE) - 1, hour(w) * 3600 + minute(w) // 5 * 300 + 86400 FROM w0),

@@ -190,6 +190,19 @@ def test_live_metrics_that_are_too_old_are_not_built(spark):
     assert young.orderBy(*order).select(*every.columns).collect() == expected
 
 
+def test_estimates_ask_profiles_for_their_slots_only(spark):
+    asked = estimates.in_fallback_slots(spark, "2024-01-31 12:00:00")
+    slots = spark.range(288).select(F.col("id").cast("int").alias("slot_index"), F.explode(F.array(*[F.lit(d) for d in ("weekday", "saturday", "sunday")])).alias("day_type"))
+    assert [(r["day_type"], r["slot_index"]) for r in slots.where(asked).orderBy("slot_index").collect()] == [("weekday", k) for k in range(102, 115)]
+    # near midnight a Friday's estimate falls back to Saturday's first slots too
+    late = slots.where(estimates.in_fallback_slots(spark, "2024-02-03 02:50:00")).groupBy("day_type").count().collect()
+    assert {r["day_type"]: r["count"] for r in late} == {"weekday": 8, "saturday": 5}
+    # the test reaches the rows below the aggregate
+    profile = metrics.rolling_profile(metrics.daily_metrics(samples.metric_identities(traversals(spark)), samples.KEYED), date(2024, 1, 31), samples.KEYED)
+    plan = profile.where(asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("102") > plan.rindex("Aggregate")
+
+
 def test_stored_catalog_holds_keys_in_runs(spark):
     rows = spark.range(3000).select(F.sha2((F.col("id") * 7 % 50).cast("string"), 256).alias("metric_key"), F.col("id").alias("value_seconds")).repartition(3)
     stored = estimates.stored_catalog(rows)
