@@ -249,7 +249,7 @@ SELECT s.vehicle_prefix, s.trip_id, 'planned_baseline' AS calculation_mode, true
 )
 R.add(
     "E13_segment_speed_map", "origin_stop_id:s, destination_stop_id:s, source:s, duration_seconds:f, reliability:f, sample_count:i, historical_offset_minutes:i",
-    lambda v: estimates.segment_speed_map(estimates.remaining_traversals(current(v), v.stop_times, v.trips, v.stops, NOW), *measured(v), NOW, DAY, "weekday", 108),
+    lambda v: estimates.segment_speed_map(estimates.remaining_traversals(current(v), v.stop_times, v.trips, v.stops, NOW), *measured(v, NOW), NOW, DAY, "weekday", 108),
     f"""WITH {OBS_SQL}, veh AS (SELECT trip_id, shape_progress_m AS vp FROM states WHERE source_age_s <= 300),
 tv AS (SELECT DISTINCT a.origin_stop_id AS o, a.destination_stop_id AS d, a.departure_seconds, a.duration_seconds, t.shape_id, a.opos, a.dpos, a.dp - a.op AS dist FROM veh JOIN adj a USING (trip_id) JOIN trips t USING (trip_id) WHERE a.op >= vp AND a.dp > a.op AND a.dpos > a.opos),
 pl AS (SELECT o, d, avg(duration_seconds) AS pv, count(*) AS pc FROM tv GROUP BY 1, 2),
