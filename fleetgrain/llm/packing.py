@@ -28,6 +28,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,8 @@ STEP_WINDOWS = 64
 #: Documents whose ids are held at once; beyond it, the windows that are full leave.
 HELD_TOKENS = 2 << 20
 REMEMBERED = 600_000
-#: Characters that are tokenized at once; longer texts are cut at white space.
-SLICE_CHARS = 1 << 20
+#: Characters that are tokenized at once, as a word is looked up once in them; longer texts are cut at white space.
+SLICE_CHARS = 4 << 20
 _SPACES = (" ", "\n", "\t", "\r", "\x0b", "\x0c")
 
 
@@ -113,8 +114,10 @@ class WordIds:
     def _learn(self, words: list[str]) -> np.ndarray:
         """Place of each of the distinct words."""
         index = self.index
-        new = [w for w in words if w not in index]
-        if new:
+        place = np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            new = [words[k] for k in unknown.tolist()]
             flat, counts = self._segment(new)
             known = len(index)
             end = self.bounds[known] if known else 0
@@ -124,8 +127,9 @@ class WordIds:
             self.bounds[known + 1 : known + 1 + len(new)] = end + np.cumsum(counts)
             self.hits = _grown(self.hits, known + len(new))
             self.hits[known : known + len(new)] = 0
-            index.update(zip(new, range(known, known + len(new)), strict=True))
-        place = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+            numbers = range(known, known + len(new))
+            index.update(zip(new, numbers, strict=True))
+            place[unknown] = numbers
         self.hits[place] += 1
         return place
 

@@ -267,3 +267,30 @@ def test_empty_tables(spark):
     assert packing.pack(empty, vocabulary("word_bpe_49k.json")).count() == 0
     assert secret_scan.scan(empty).count() == 0 and secret_scan.redact_live(empty).count() == 0
     assert license_scan.scan(empty).count() == 0
+
+
+def test_packing_looks_up_each_distinct_word_once():
+    import pyarrow as pa
+
+    class Counted(dict):
+        lookups = 0
+
+        def get(self, *args):
+            Counted.lookups += 1
+            return super().get(*args)
+
+        def __getitem__(self, key):
+            Counted.lookups += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counted.lookups += 1
+            return super().__contains__(key)
+
+    words = packing.WordIds(vocabulary("word_bpe_49k.json"))
+    texts = pa.array(["one two one", None, "two three  one"])
+    ids, bounds = words.ids(texts)
+    words.index = Counted(words.index)
+    again, same = words.ids(texts)
+    assert Counted.lookups == 3
+    assert again.tolist() == ids.tolist() and same.tolist() == bounds.tolist()
