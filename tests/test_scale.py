@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import math
 import re
+import time
+import uuid
 from datetime import date
+from pathlib import Path
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
+from fleetgrain import session
+from fleetgrain.catalog import jobs as fixtures
 from fleetgrain.catalog import streams, views
 from fleetgrain.functions.text import normalize_line
 from fleetgrain.operators import estimates, metrics, samples, shapes, timetable
@@ -214,3 +220,59 @@ def test_stored_catalog_holds_keys_in_runs(spark):
 
 def test_shuffled_partitions_stay_small_enough_to_sort(spark):
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def stored_steps(spark, monkeypatch, tmp_path) -> Path:
+    """From now on steps go to a folder of this test."""
+    monkeypatch.setattr(session, "ensure_checkpoints", lambda _: str(tmp_path))
+    return tmp_path
+
+
+def test_a_write_leaves_no_shuffle_files(spark, monkeypatch, tmp_path):
+    root = stored_steps(spark, monkeypatch, tmp_path)
+    files = lambda: set(Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*"))
+    before = files()
+    stored = materialize(spark.range(20_000).repartition(5, "id"))
+    deadline = time.time() + 20
+    while (left := files() - before) and time.time() < deadline:
+        time.sleep(0.2)
+    assert not left
+    # a frame that its user runs again keeps its own
+    frame = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    assert sorted(frame.collect()) == sorted(frame.collect()) and files() - before
+    assert stored.count() == 20_000 and len(list(root.glob("step-*"))) == 1
+
+
+def test_steps_on_the_way_are_removed(spark, monkeypatch, tmp_path):
+    root = stored_steps(spark, monkeypatch, tmp_path)
+    kept = lambda: len(list(root.glob("step-*")))
+    inner = lambda: session.settled(spark, lambda: materialize(spark.range(10)).selectExpr("id * 2 AS id"))
+    outer = session.settled(spark, lambda: inner().selectExpr("id + 1 AS id"))
+    assert kept() == 1 and outer.agg(F.sum("id")).first()[0] == 100
+    # a result that is a step already is not written again
+    assert session.settled(spark, lambda: materialize(outer)).count() == 10 and kept() == 2
+    with pytest.raises(ZeroDivisionError):
+        session.settled(spark, lambda: materialize(spark.range(1)) and 1 / 0)
+    assert kept() == 2
+
+
+def test_the_replay_in_slices_gives_the_same_rows(spark, monkeypatch, tmp_path):
+    source = "/root/testdata/sf0.001"
+    view = views.Views(spark, source)
+
+    def replayed() -> tuple[dict, int]:
+        monkeypatch.setattr(session, "ensure_checkpoints", lambda _: str(tmp_path / uuid.uuid4().hex))
+        made = []
+        monkeypatch.setattr(session, "_append", lambda df, folder, put=append: made.append(folder) or put(df, folder))
+        tables = jobs.project_timetable(fixtures.walked_tables(view))
+        active = materialize(timetable.active_trips(view.trips, view.routes, view.services, view.exceptions, fixtures.SERVICE_DAY))
+        out = jobs.travel_time_replay(fixtures.walking_pings(view, active), tables, active)
+        names = {"states": ["previous_state_1", "previous_state_2"], "completed": [], "observations": [], "daily": []}
+        return {n: sorted(map(str, out[n].drop(*drop).collect())) for n, drop in names.items()}, len(made)
+
+    append = session._append
+    whole, few = replayed()
+    monkeypatch.setattr(session, "SLICE_ROWS", 200)
+    sliced, many = replayed()
+    assert many >= few + 4 * (session.MOST_SLICES - 1) and whole["states"] and whole["daily"]
+    assert whole == sliced
