@@ -20,6 +20,7 @@ from fleetgrain.functions.text import normalize_line
 from fleetgrain.operators import estimates, metrics, samples, shapes, timetable
 from fleetgrain.plans import jobs
 from fleetgrain.session import materialize
+from fleetgrain.streaming import state
 
 
 def exchanges(df) -> int:
@@ -276,3 +277,27 @@ def test_the_replay_in_slices_gives_the_same_rows(spark, monkeypatch, tmp_path):
     sliced, many = replayed()
     assert many >= few + 4 * (session.MOST_SLICES - 1) and whole["states"] and whole["daily"]
     assert whole == sliced
+
+
+def test_a_payload_names_no_fields(spark):
+    rows = spark.sql(
+        "SELECT id, 'k' AS key, CASE WHEN id > 0 THEN concat('\\\"', id, ',') END AS a_rather_long_name, TIMESTAMP '2024-01-31 10:00:00.123456' + make_interval(0, 0, 0, 0, 0, 0, id) AS seen_at,"
+        " named_struct('at', TIMESTAMP '1969-12-31 23:59:59.999999', 'n', id) AS nested, 1.1D / 3 AS share FROM range(3)")
+    sent = rows.select("id", state._payload(rows, ["id", "key"]))
+    assert not any("name" in r["payload"] or "2024" in r["payload"] for r in sent.collect())
+    back = state._restored(sent, rows, ["id", "key"], ["id"])
+    assert back.dtypes == rows.drop("key").dtypes and back.orderBy("id").collect() == rows.drop("key").orderBy("id").collect()
+
+
+def test_a_replayed_stream_leaves_its_files_only(spark, monkeypatch, tmp_path):
+    root = stored_steps(spark, monkeypatch, tmp_path)
+    monkeypatch.setattr(streams, "shared_dir", session.shared_dir)
+    files = lambda: set(Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*.data"))
+    before = files()
+    view = SimpleNamespace(spark=spark)
+    out = streams.drain(view, streams.replay(view, spark.range(5000), files=2).dropDuplicates(["id"]))
+    deadline = time.time() + 20
+    while (left := files() - before) and time.time() < deadline:
+        time.sleep(0.2)
+    assert not left and not list(root.glob("step-*"))
+    assert out.count() == 5000
